@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
 
 from tessella.llm.common import table
 from tessella.llm.decontaminate import contaminated
+from tessella.llm.packing import pack
 from tessella.llm.quality_rules import quality_rules
+from tessella.llm.secrets import scan_secrets
+from tessella.llm.simhash import hex_fingerprint, near_duplicates
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +22,45 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+def span_text(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def span_digests(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """(doc_id, n_<kind> ..., base_sha256, spans) from (doc_id, found)."""
+    base = F.filter("found", lambda x: x["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("found")).alias("spans"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(scan_secrets(table(spark, sf_dir, "documents")), ["assign", "access", "hex"])
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
+    "op5_simhash": op5_simhash,
+    "op8_secrets": op8_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
 
