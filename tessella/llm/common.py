@@ -55,8 +55,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch. One batch is in memory at a time."""
+def map_arrow(df: DataFrame, fn: Callable, schema: str, stream: bool = False) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch (it returns a batch or a list of them), one batch in memory at a time; with
+    ``stream``, ``fn`` gets the iterator of a partition's batches and yields batches."""
 
     # workers import this package: its folder joins their path, where that folder exists for them
     root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
@@ -69,7 +70,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | lis
                 out = fn(batch)
                 yield from out if isinstance(out, list) else [out]
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(fn if stream else run, schema)
 
 
 def byte_chunks(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:

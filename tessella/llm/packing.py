@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import byte_chunks, map_arrow
 
 #: Entries and bytes of a word in the cache of a Python worker; a longer word is tokenized each time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CACHE_BYTES = 64
 
 
@@ -36,22 +36,29 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def text(self, text: bytes) -> bytes:
         w = text.split()
-        known = self.known
+        young = self.young
         try:
-            return b"".join([known[x] for x in w])
+            return b"".join([young[x] for x in w])
         except KeyError:
-            pass
-        new = [x for x in dict.fromkeys(w) if x not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(w))
-        made = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False))}
-        known.update((x, ids) for x, ids in made.items() if len(x) <= CACHE_BYTES)
-        return b"".join([made.get(x) or known.get(x, b"") for x in w])
+            self.learn([x for x in dict.fromkeys(w) if x not in young])
+        out = b"".join([young[x] for x in w])
+        for x in [x for x in set(w) if len(x) > CACHE_BYTES]:
+            del young[x]
+        if len(young) > CACHE_WORDS // 2:  # words in use move from old to young again
+            self.old, self.young = young, {}
+        return out
+
+    def learn(self, missing: list[bytes]) -> None:
+        found = {x: self.old[x] for x in missing if x in self.old}
+        self.young.update(found)
+        new = [x for x in missing if x not in found]
+        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
+            self.young[x] = np.array(e.ids, "<u4").tobytes()
 
 
 _WORKER: dict[str, WordIds] = {}
