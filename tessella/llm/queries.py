@@ -95,7 +95,7 @@ ORACLE_SQL: dict[str, str] = {
             CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(t, '\', '\\'), '<|', '<\|')) + 23) AS BIGINT) AS formatted_chars
-        FROM c GROUP BY conv_id""".replace("\\", "\"),
+        FROM c GROUP BY conv_id""",
     "op10_decontaminate": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS shingle FROM w WHERE len(w) > 0),
