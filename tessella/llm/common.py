@@ -7,6 +7,8 @@ cannot clash with the operator's own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -73,6 +75,26 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str, stream: bool = False) ->
     return df.mapInArrow(fn if stream else run, schema)
 
 
+@contextlib.contextmanager
+def one_blas_thread() -> Iterator[None]:
+    """numpy's bundled OpenBLAS on one thread: many small products otherwise fight for cores that Spark has dealt out."""
+    import numpy as np
+
+    put, old = None, 0
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        lib = ctypes.CDLL(str(path))
+        for suffix in ("64_", ""):
+            if hasattr(lib, f"scipy_openblas_set_num_threads{suffix}"):
+                put, old = getattr(lib, f"scipy_openblas_set_num_threads{suffix}"), getattr(lib, f"scipy_openblas_get_num_threads{suffix}")()
+    if put:
+        put(1)
+    try:
+        yield
+    finally:
+        if put:
+            put(old)
+
+
 def byte_chunks(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``most`` bytes each (a single longer row stays whole)."""
     rows = batch.num_rows

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.llm.chat import format_conversations, read_back, unescape
 from tessella.llm.common import map_arrow, table
 from tessella.llm.decontaminate import contaminated
+from tessella.llm.gru_lm import score_documents
 from tessella.llm.packing import pack
 from tessella.llm.quality_rules import quality_rules
 from tessella.llm.secrets import scan_secrets
@@ -29,6 +30,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = r"\### Assistant: </turn> ok"
@@ -80,6 +85,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_lm_score": op3_lm_score,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op8_secrets": op8_secrets,
