@@ -15,6 +15,7 @@ from tessella.llm.common import map_arrow, table
 from tessella.llm.decontaminate import contaminated
 from tessella.llm.gru_lm import score_documents
 from tessella.llm.packing import pack
+from tessella.llm.pii import KINDS, find_personal
 from tessella.llm.quality_rules import quality_rules
 from tessella.llm.secrets import scan_secrets
 from tessella.llm.simhash import hex_fingerprint, near_duplicates
@@ -74,6 +75,10 @@ def span_digests(found: DataFrame, kinds: list[str]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("found")).alias("spans"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_personal(table(spark, sf_dir, "documents")), KINDS)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(scan_secrets(table(spark, sf_dir, "documents")), ["assign", "access", "hex"])
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_score": op3_lm_score,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
+    "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
