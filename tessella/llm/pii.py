@@ -242,7 +242,8 @@ def learn_field(docs: DataFrame) -> Field | None:
 
     made = map_arrow(docs.select(F.col("text").cast("string").alias("text")), count, "kind string, what string, a int, b int, c long", stream=True)
     counts = materialize(made.groupBy("kind", "what", "a", "b").agg(F.sum("c").alias("c")), "field-counts")
-    pairs = {k: np.ones((K, K)) for k in ("chain", "skip")}
+    # before any count, similar tokens are held to agree
+    pairs = {"chain": np.ones((K, K)), "skip": np.ones((K, K)) + 20 * np.eye(K)}
     for r in counts.where("kind != 'unary'").collect():
         pairs[r["kind"]][r["a"], r["b"]] += r["c"]
     rows = counts.where("kind = 'unary'").orderBy(F.desc("c"), "what", "a").limit(SHAPES).collect()
@@ -308,7 +309,7 @@ def _find(texts: list[str], field: Field | None, least: float) -> list[list[tupl
     return [sorted(x, key=lambda s: s[:3]) for x in out]
 
 
-def find_personal(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
+def find_personal(docs: DataFrame, *, least: float = 0.75) -> DataFrame:
     """(doc_id, found array<struct<kind, start, end, base>>) for every document, by kind and start."""
     field = learn_field(docs)
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
@@ -328,7 +329,7 @@ def find_personal(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), find, schema)
 
 
-def redact(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
+def redact(docs: DataFrame, *, least: float = 0.75) -> DataFrame:
     """The same columns; each span of a text (overlapping ones as one) gives way to its kind in angle brackets, and
     ``n_chars``, where there is such a column, is counted anew."""
     field = learn_field(docs)
