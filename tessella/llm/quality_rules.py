@@ -214,3 +214,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **learn: float) -> DataFra
     rules = learn_rules(stats, labels, **learn)
     judged = stats.select("*", base_failed().alias("base_failed"), rules.verdict().alias("rule"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **learn: float) -> DataFrame:
+    """The documents that are kept, with all their columns.
+
+    Verdicts are joined by id; only rejected ids are moved, and where an id repeats, its rows go if all of them are
+    rejected. Rows with a null id are judged together in the same way.
+    """
+    judged = quality_rules(docs, labels, **learn)
+    bad = materialize(judged.groupBy(F.col("doc_id").alias("bad_id")).agg(F.max("kept").alias("any_kept")).where(~F.col("any_kept")).select("bad_id"), "rejected")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -14,6 +14,8 @@ from tessella.llm.chat import format_conversations, read_back, unescape
 from tessella.llm.common import map_arrow, table
 from tessella.llm.decontaminate import contaminated
 from tessella.llm.gru_lm import score_documents
+from tessella.llm.licenses import scan_licenses
+from tessella.llm.ordinal import grade_documents, grade_of_labels
 from tessella.llm.packing import pack
 from tessella.llm.pii import KINDS, find_personal
 from tessella.llm.quality_rules import quality_rules
@@ -75,6 +77,11 @@ def span_digests(found: DataFrame, kinds: list[str]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("found")).alias("spans"))
 
 
+def op6_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = table(spark, sf_dir, "labels").select("doc_id", grade_of_labels().alias("grade"))
+    return grade_documents(table(spark, sf_dir, "documents"), ratings)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(find_personal(table(spark, sf_dir, "documents")), KINDS)
 
@@ -83,6 +90,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(scan_secrets(table(spark, sf_dir, "documents")), ["assign", "access", "hex"])
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,8 +104,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_score": op3_lm_score,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
+    "op6_quality_grade": op6_quality_grade,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
 }
 
