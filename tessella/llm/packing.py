@@ -26,6 +26,18 @@ from tessella.llm.common import byte_chunks, map_arrow
 #: Entries and bytes of a word in the cache of a Python worker; a longer word is tokenized each time.
 CACHE_WORDS = 800_000
 CACHE_BYTES = 64
+#: What may follow the letters of a word as one run of marks.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class WordIds:
@@ -36,6 +48,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -56,10 +69,31 @@ class WordIds:
     def learn(self, missing: list[bytes]) -> None:
         found = {x: self.old[x] for x in missing if x in self.old}
         self.young.update(found)
-        new = [x for x in missing if x not in found]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
+        hard = []
+        for x in missing:
+            if x not in found:
+                word = x.decode()
+                if max(word) < "\u0100":
+                    word = word.lower()
+                    letters = word.rstrip(MARKS)
+                    if letters.isalpha():
+                        self.young[x] = self.part(letters) + (self.part(word[len(letters) :]) if len(letters) < len(word) else b"")
+                        continue
+                hard.append(x)
+        for x, e in zip(hard, self.tokenizer.encode_batch_fast([x.decode() for x in hard], add_special_tokens=False)):
             self.young[x] = np.array(e.ids, "<u4").tobytes()
 
+    def part(self, letters: str) -> bytes:
+        """Ids of a run of lower-case Latin-1 letters, or of marks. Such text is its own normal form and one pre-token, so
+        the tokenizer's model is asked directly, which spares most of a call's cost."""
+        key = letters.encode()
+        ids = self.young.get(key) or self.old.get(key)
+        if ids is None:
+            ids = np.array([t.id for t in self.model.tokenize(key.decode("latin-1").translate(BYTE_LETTERS))], "<u4").tobytes()
+            if len(key) <= CACHE_BYTES:
+                self.young[key] = ids
+        return ids
+
 
 _WORKER: dict[str, WordIds] = {}
 
