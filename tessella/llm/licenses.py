@@ -116,7 +116,7 @@ class Scanner:
         same = sum(b.size for b in blocks)
         added, missing = last - first - same, len(want) - same
         shared = {w for b in blocks for w in words[b.a : b.a + b.size]}
-        if added + missing > max(2, self.most_changed * len(want)) or not shared.issuperset(self.templates[k].marks):
+        if added + missing > max(3, self.most_changed * len(want)) or not shared.issuperset(self.templates[k].marks):
             return None
         return at + found[first][0], at + found[last - 1][1], added, missing
 
