@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 MOST_QUERIES = 100_000
 
@@ -36,6 +37,7 @@ def top_hits(queries: DataFrame, store: DataFrame, *, k: int = 25, query_id: str
     if len(rows) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries; pass them in parts")
     kept = store.drop(vector)
+    id_type = to_arrow_type(queries.schema[query_id].dataType)
     kind = dict(queries.dtypes)[query_id]
     schema = ", ".join([f"{query_id} {kind}", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "similarity double"])
 
@@ -63,7 +65,7 @@ def top_hits(queries: DataFrame, store: DataFrame, *, k: int = 25, query_id: str
                     s_at += near.tolist()
                 take = pa.array(s_at, pa.int64())
                 names = [n for n in batch.schema.names if n != vector]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in q_at]), *(batch.column(n).take(take) for n in names), pa.array(sims[q_at, s_at])], [query_id, *names, "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in q_at], id_type), *(batch.column(n).take(take) for n in names), pa.array(sims[q_at, s_at])], [query_id, *names, "similarity"])
 
         return store.select(*kept.columns, vector).mapInArrow(run, schema)
 
