@@ -194,9 +194,10 @@ def content_hash(text: Column | str) -> Column:
     return F.substring(F.sha2(_c(text), 256), 1, 16)
 
 
-def header_fields(text: Column | str, stem_name: Column | str) -> Column:
-    """struct(title, company, location) from the first eight lines; a later line wins over an earlier one."""
-    all_lines = lines(text)
+def header_fields(all_lines: Column | str, stem_name: Column | str) -> Column:
+    """struct(title, company, location) from an array of ``lines``: the first eight count, a later one wins over an earlier one.
+    The array should be a column, as it is used several times."""
+    all_lines = _c(all_lines)
     head = F.slice(all_lines, 1, 8)
 
     def field(*names: str) -> Column:

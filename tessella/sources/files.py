@@ -43,7 +43,7 @@ def read_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 def postings_of(rows: DataFrame, slug: str = "slug", text: str = "text") -> DataFrame:
     """Posting fields for any table with a slug and a text."""
-    fields = rows.withColumn("_f", header_fields(text, slug))
+    fields = rows.withColumn("_lines", lines(text)).withColumn("_f", header_fields("_lines", slug)).drop("_lines")
     return fields.select("*", "_f.title", "_f.company", "_f.location", label("_f.title", "_f.company").alias("label"), content_hash(text).alias("content_hash")).drop("_f")
 
 
