@@ -95,7 +95,7 @@ def one_blas_thread() -> Iterator[None]:
             put(old)
 
 
-def byte_chunks(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def byte_chunks(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``most`` bytes each (a single longer row stays whole)."""
     rows = batch.num_rows
     size = max(batch.nbytes, 1)
