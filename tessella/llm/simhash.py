@@ -173,11 +173,16 @@ def hex_fingerprint(fp: str = "fp"):
 
 
 def drop_near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
-    """One document of each component stays: the first with the least id. Rows with null ids all stay, as nothing names them.
+    """One document of each component stays, as ``keep_one`` has it."""
+    return keep_one(docs, near_duplicates(docs, **how))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One document of each component of ``found`` stays: the first with the least id. Rows with null ids all stay, as nothing
+    names them.
 
     Only where an id repeats do whole rows move, to keep one row of them.
     """
-    found = near_duplicates(docs, **how)
     keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("k_id")).agg(F.count(F.lit(1)).alias("k_rows"))
     keep = materialize(keep, "kept-ids")
 
