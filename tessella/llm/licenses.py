@@ -1,10 +1,11 @@
 """License scans by conditional compression (operator 9).
 
-Candidate blocks are the lines, and joined runs of lines, that speak of licences. A block is compressed by zstandard alone
-and again with each template as a raw dictionary; the larger the share of bytes that a template saves, the more of its
-wording the block repeats. Templates are ranked by it, and the best are confirmed or refused by the exact difference
-of wording: the block's words against the template's, aligned, with the words that tell licences apart (names and version
-numbers) required to be equal.
+Every word that speaks of licences is the middle of a block for each template, cut at the template's own length to both sides
+over line ends, so neither a long line nor a wrapped one hides a notice. A block with the words that tell the licence apart
+(names and version numbers) is compressed by zstandard alone and again with the template as a raw dictionary; the bytes
+saved, against the template's own, tell how much of its wording the block repeats. Every template above the bound is confirmed
+or refused by the exact difference of wording: the block's words against the template's, aligned. All matches that do not
+overlap are kept, those with the fewest changes first.
 
 Defined results: a null text has no blocks; documents without a confirmed block have an empty list, so every row of
 the input has one row in the result; null and repeated ids are kept; offsets are code points.
@@ -13,6 +14,7 @@ the input has one row in the result; null and repeated ids are kept; offsets are
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -55,13 +57,10 @@ TEMPLATES = [
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2.0")),
 ]
 
-#: A line with one of these may hold a notice (checked without regard to case).
-_CUE = "(?i)licen[cs]|copyright|permission|redistribut|creative commons|cc[ -]by|free software|waived"
+#: Words about one of these may hold a notice (checked without regard to case).
+_CUE = r"(?i)licen[cs]|copyright|permission|redistribut|creative\s+commons|cc[\s-]+by|free\s+software|waived"
 _CUE_PY = re.compile(_CUE)
 _WORD = re.compile(r"[0-9A-Za-z](?:[0-9A-Za-z.\-]*[0-9A-Za-z])?")
-_LINE = re.compile(r"[^\n]+")
-#: Lines of more words are cut into windows of twice the longest template, half overlapping, so a notice stays whole.
-_WINDOW = 2 * max(len(_WORD.findall(t.text)) for t in TEMPLATES)
 
 
 def wording(text: str) -> list[str]:
@@ -81,24 +80,26 @@ class Match:
 class Scanner:
     """Compressors, one for each template; made once per task."""
 
-    def __init__(self, templates: list[Template], ranked: int = 4, least_saved: float = 0.15, most_changed: float = 0.2):
+    def __init__(self, templates: list[Template], least_saved: float = 0.15, most_changed: float = 0.2):
         import zstandard as z
 
-        self.templates, self.ranked, self.least_saved, self.most_changed = templates, ranked, least_saved, most_changed
+        self.templates, self.least_saved, self.most_changed = templates, least_saved, most_changed
         make = lambda **k: z.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, **k)
         self.plain = make()
         self.given = [make(dict_data=z.ZstdCompressionDict(self.normal(t.text), dict_type=z.DICT_TYPE_RAWCONTENT)) for t in templates]
+        self.alone = [len(self.plain.compress(self.normal(t.text))) for t in templates]
         self.words = [wording(t.text) for t in templates]
+        self.marks = [frozenset(t.marks) for t in templates]
+        self.changes = [max(3, most_changed * len(w)) for w in self.words]
 
     @staticmethod
     def normal(text: str) -> bytes:
         return " ".join(text.lower().split()).encode()
 
-    def savings(self, block: str) -> list[tuple[float, int]]:
-        """(share of the block's own compressed bytes that a template saves, its number), best first."""
+    def saving(self, block: str, k: int) -> float:
+        """The bytes that template k saves of the compressed block, as a share of its own compressed bytes."""
         data = self.normal(block)
-        alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
+        return (len(self.plain.compress(data)) - len(self.given[k].compress(data))) / self.alone[k]
 
     def confirm(self, block: str, at: int, k: int) -> tuple[int, int, int, int] | None:
         """(start, end, words between that the template lacks, words of the template that are missing), if close enough."""
@@ -116,51 +117,49 @@ class Scanner:
         same = sum(b.size for b in blocks)
         added, missing = last - first - same, len(want) - same
         shared = {w for b in blocks for w in words[b.a : b.a + b.size]}
-        if added + missing > max(3, self.most_changed * len(want)) or not shared.issuperset(self.templates[k].marks):
+        if added + missing > self.changes[k] or not shared.issuperset(self.templates[k].marks):
             return None
         return at + found[first][0], at + found[last - 1][1], added, missing
 
     def scan(self, text: str) -> list[Match]:
+        found = list(_WORD.finditer(text))
+        starts = [m.start() for m in found]
+        words = [m[0].lower() for m in found]
+        cues = sorted({max(bisect_right(starts, m.start()) - 1, 0) for m in _CUE_PY.finditer(text)}) if found else []
         out: list[Match] = []
-        for at, block in blocks_of(text):
-            best = None
-            for saved, k in self.savings(block)[: self.ranked]:
-                if saved < self.least_saved:
-                    break
-                if hit := self.confirm(block, at, k):
-                    m = Match(self.templates[k].license_id, hit[0], hit[1], round(saved, 4), hit[2], hit[3])
-                    if best is None or (m.added + m.missing, -(m.end - m.start)) < (best.added + best.missing, -(best.end - best.start)):
-                        best = m
-            if best and not any(best.start < o.end and o.start < best.end for o in out):
-                out.append(best)
+        while more := self._matches(text, found, starts, words, cues, out):
+            out += more
         return sorted(out, key=lambda m: m.start)
 
-
-def blocks_of(text: str) -> list[tuple[int, str]]:
-    """(offset, block): runs of neighbouring cue lines joined first, then the lines; long ones as overlapping windows."""
-    lines = [m for m in _LINE.finditer(text) if _CUE_PY.search(m[0])]
-    pieces: list[tuple[int, int]] = []
-    run: list[re.Match] = []
-    for m in [*lines, None]:
-        if run and (m is None or text[run[-1].end() : m.start()].strip()):
-            if len(run) > 1:
-                pieces.append((run[0].start(), run[-1].end()))
-            run = []
-        if m is not None:
-            run.append(m)
-            pieces.append(m.span())
-    out = []
-    for a, b in sorted(pieces, key=lambda p: (p[0], -p[1])):
-        words = list(_WORD.finditer(text, a, b))
-        if len(words) <= _WINDOW:
-            out.append((a, text[a:b]))
-            continue
-        for k in range(0, len(words), _WINDOW // 2):
-            part = words[k : k + _WINDOW]
-            x, y = part[0].start(), part[-1].end()
-            if _CUE_PY.search(text, x, y):
-                out.append((x, text[x:y]))
-    return out
+    def _matches(self, text: str, found: list[re.Match], starts: list[int], words: list[str], cues: list[int], taken: list[Match]) -> list[Match]:
+        """Matches that do not overlap, about cues outside the taken ones, in blocks that end where a taken one begins."""
+        ends = sorted((m.start, m.end) for m in taken)
+        hits: dict[tuple[int, int, int], Match] = {}
+        for c in cues:
+            at = bisect_right(ends, (starts[c], len(text)))
+            if at and starts[c] < ends[at - 1][1]:
+                continue
+            first = bisect_left(starts, ends[at - 1][1]) if at else 0
+            last = bisect_left(starts, ends[at][0]) if at < len(ends) else len(words)
+            for k, want in enumerate(self.words):
+                reach = len(want) + int(self.changes[k])
+                lo, hi = max(c - reach, first), min(c + reach + 1, last)
+                if not self.marks[k].issubset(words[lo:hi]):
+                    continue
+                block = text[starts[lo] : found[hi - 1].end()]
+                saved = self.saving(block, k)
+                if saved < self.least_saved:
+                    continue
+                hit = self.confirm(block, starts[lo], k)
+                if hit and hit[0] <= starts[c] < hit[1]:
+                    key = (hit[0], hit[1], k)
+                    if key not in hits or hits[key].saved < saved:
+                        hits[key] = Match(self.templates[k].license_id, hit[0], hit[1], round(saved, 4), hit[2], hit[3])
+        out: list[Match] = []
+        for m in sorted(hits.values(), key=lambda m: (m.added + m.missing, m.start - m.end, m.start, m.license_id)):
+            if not any(m.start < o.end and o.start < m.end for o in out):
+                out.append(m)
+        return out
 
 
 def scan_licenses(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
