@@ -60,9 +60,9 @@ class Engine:
         """E1 for all jobs at once."""
         return coverage.explain(chunks, jobs, **how)
 
-    def build_profile(self, documents: DataFrame, *, dictionary: DataFrame | None = None, keep_contact: bool = False) -> DataFrame:
-        """Repaired, reflowed, sectioned, redacted and de-duplicated lines of documents (file_name, text)."""
+    def build_profile(self, documents: DataFrame, *, dictionary: DataFrame | None = None, keep_contact: bool = False, key: str = "file_name") -> DataFrame:
+        """Repaired, reflowed, sectioned, redacted and de-duplicated lines of documents (key, text)."""
         good = documents.where(F.col("text").isNotNull())
         vocab = stored(repair.vocabulary(good, dictionary), "vocabulary")  # T21: built once, from the raw texts
-        repaired = repair.repair_texts(good, stored(repair.token_repairs(good, vocab), "repairs"))
-        return profile.build_profile(repaired, keep_contact=keep_contact)
+        repaired = repair.repair_texts(good, stored(repair.token_repairs(good, vocab), "repairs"), key=key)
+        return profile.build_profile(repaired, key=key, keep_contact=keep_contact)

@@ -249,8 +249,10 @@ def w1_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def e7_build_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One profile of all documents (reflow is a fold without SQL)."""
-    return profile.build_profile(_t(spark, sf_dir, "documents"), key="doc_id")
+    """One profile of all documents, repaired first (reflow is a fold without SQL)."""
+    from tessella.plans.engine import Engine
+
+    return Engine(spark).build_profile(_t(spark, sf_dir, "documents"), key="doc_id")
 
 
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
