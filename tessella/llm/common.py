@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 #: White space that parts words everywhere in this subpackage: space and the control characters 9 to 13.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
+#: Column that names a row's text while an operator works on it.
+COPY = "_tessella_copy"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -49,7 +55,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables made by ``materialize`` that no returned plan reads: later tables have replaced them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_copy(text: Column) -> Column:
+    """A 64-bit hash of a row's whole text. With the id it names a row; rows that agree in both are copies of each other."""
+    return F.xxhash64(text)
+
+
+def same_row(df: DataFrame, other: DataFrame) -> Column:
+    """Null-safe match of a row (``doc_id``, ``COPY``) with a verdict (``v_id``, ``v_copy``)."""
+    return df["doc_id"].eqNullSafe(other["v_id"]) & (df[COPY] == other["v_copy"])
 
 
 def words(text: Column) -> Column:
@@ -67,12 +92,25 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str, stream: bool = False) ->
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield from out if isinstance(out, list) else [out]
-
-    return df.mapInArrow(fn if stream else run, schema)
+        if stream:
+            yield from fn(batches)
+        else:
+            for batch in batches:
+                if batch.num_rows:
+                    out = fn(batch)
+                    yield from out if isinstance(out, list) else [out]
+                    del batch, out
+        give_back_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back_memory() -> None:
+    """At the end of a partition: what Arrow and the C library hold free goes back, as workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 @contextlib.contextmanager

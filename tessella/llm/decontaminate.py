@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, words
+from tessella.llm.common import COPY, materialize, row_copy, same_row, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -59,26 +59,36 @@ def sketch(items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD)
     return hashed.select(F.explode_outer(F.slice("g", 1, k)).alias("hash")).where(F.col("hash").isNotNull()).distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs with at least ``threshold`` of an item's distinct shingles in a document.
+def _matches(docs: DataFrame, items: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(doc_id, copy, item_id, n_shingles, n_found, c): each row's containment of each item at ``threshold`` or more.
 
-    Returns (doc_id, item_id, n_shingles, n_found long, containment double). The sketch and the candidates are written
-    to the shared folder, so that the planner knows their sizes: it broadcasts them only below
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+    The sketch and the candidates are written to the shared folder, so that the planner knows their sizes: it broadcasts
+    them only below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
     marks = materialize(sketch(items, size, threshold), "sketch")
-    probed = _hashed(docs, "text", size, "doc_id").select("doc_id", F.explode_outer("g").alias("hash"))
-    candidates = materialize(probed.join(marks, "hash", "left_semi").select("doc_id").distinct(), "candidates")
+    given = docs.select("doc_id", row_copy(F.col("text")).alias(COPY), "text")
+    probed = _hashed(given, "text", size, "doc_id", COPY).select("doc_id", COPY, F.explode_outer("g").alias("hash"))
+    hits = probed.join(marks, "hash", "left_semi").select("doc_id", COPY)
+    candidates = materialize(hits.select(F.col("doc_id").alias("v_id"), F.col(COPY).alias("v_copy")).distinct(), "candidates")
     wanted = materialize(item_shingles(items, size), "item-shingles")
-    d, c = docs.select("doc_id", "text"), candidates.select(F.col("doc_id").alias("c_id"))
-    again = d.join(c, d.doc_id.eqNullSafe(c.c_id), "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), words(F.lower("text")).alias("w"))
+    again = given.join(candidates, same_row(given, candidates), "left_semi").select("doc_id", F.col(COPY).alias("copy"), words(F.lower("text")).alias("w"))
     found = again.select("doc_id", "copy", F.explode_outer(_shingles(F.col("w"), size)).alias("shingle")).join(wanted, "shingle")
     counted = found.groupBy("doc_id", "copy", "item_id", "variant", "n_shingles").agg(F.countDistinct("shingle").alias("n_found"))
-    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("c"), "n_shingles", "n_found")).alias("b"))
-    return best.where(F.col("b.c") >= threshold).select("doc_id", "item_id", "b.n_shingles", "b.n_found", F.col("b.c").alias("containment"))
+    best = counted.groupBy("doc_id", "copy", "item_id").agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("c"), "n_shingles", "n_found")).alias("b"))
+    return best.where(F.col("b.c") >= threshold).select("doc_id", "copy", "item_id", "b.n_shingles", "b.n_found", "b.c")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs with at least ``threshold`` of an item's distinct shingles in a document.
+
+    Returns (doc_id, item_id, n_shingles, n_found long, containment double), the best row of a repeated document id.
+    """
+    best = _matches(docs, items, size, threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("c", "n_shingles", "n_found")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_shingles", "b.n_found", F.col("b.c").alias("containment"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **how: float) -> DataFrame:
-    """Documents without a contaminated pair. A null id that is contaminated removes the rows with null ids."""
-    bad = materialize(contaminated(docs, items, **how).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows whose text contains no item, with all their columns; rows that share an id are judged by their own texts."""
+    bad = materialize(_matches(docs, items, size, threshold).select(F.col("doc_id").alias("v_id"), F.col("copy").alias("v_copy")).distinct(), "contaminated")
+    given = docs.withColumn(COPY, row_copy(F.col("text")))
+    return given.join(bad, same_row(given, bad), "left_anti").select(*docs.columns)

@@ -15,6 +15,7 @@ null and repeated ids are each kept as rows; texts of any length are tokenized w
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,16 +113,22 @@ def piece_lengths(n: int, max_len: int) -> list[int]:
     return [max_len] * (n // max_len) + [1 << k for k in range(max_len.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = 4096, end_id: int = 2, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = 4096, end_id: int = 2, cache_words: int = CACHE_WORDS, keep_cache: bool = True) -> DataFrame:
     """(doc_id, start, length, ids binary, doc_tokens, sequence_id, offset, bucket): one row per piece.
 
     ``ids`` holds little-endian unsigned 32-bit ids; ``bucket`` is log2 of the sequence's length. ``sequence_id`` is unique
     over the result; it follows from the partition and the row's place in it. ``cache_words`` bounds each Python worker's memory
-    (about 0.2 KB a word) and changes no result.
+    (about 0.2 KB a word) and changes no result; without ``keep_cache`` a worker forgets its words after each partition.
     """
     if max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
 
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from cut(batch)
+        if not keep_cache:
+            _WORKER.clear()
+
     def cut(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         ids_of = word_ids(tokenizer_path, cache_words)
         end = np.array([end_id], "<u4").tobytes()
@@ -141,5 +148,5 @@ def pack(docs: DataFrame, tokenizer_path: str, *, max_len: int = 4096, end_id: i
             out.append(pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(pieces, pa.binary()), pa.array(total, pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens"]))
         return out
 
-    pieces = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    pieces = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut_all, "doc_id long, start long, length long, ids binary, doc_tokens long", stream=True)
     return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))

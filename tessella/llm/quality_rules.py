@@ -41,8 +41,9 @@ def _features() -> dict[str, Column]:
     }
 
 
-def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id`` and the counts named in ``COUNTS`` (long), over the whole text.
+def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, row: bool = False) -> DataFrame:
+    """One row per document: ``doc_id`` and the counts named in ``COUNTS`` (long), over the whole text. With ``row`` the
+    document's own columns come along in one struct of that name, so none of them can clash.
 
     Windows are first compared by 64-bit hashes, where distinct hashes prove distinct windows; only texts in which a
     hash repeats are compared by their words.
@@ -52,9 +53,11 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         """Characters that remain when all that matches is deleted."""
         return F.length(F.regexp_replace(F.col("t"), pattern, ""))
 
-    filled = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    own = ["doc_id", "_row"] if row else ["doc_id"]
+    rows = [F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if row else []
+    filled = docs.select(F.col(id_col).alias("doc_id"), *rows, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     split = filled.select(
-        "doc_id",
+        *own,
         words(F.col("t")).alias("w"),
         left(r"[^#*$%&|<>]+").alias("n_symbols"),
         left(r"[^A-Z]+").alias("n_upper"),
@@ -65,7 +68,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = split.select("*", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.array_distinct("lines").alias("once"))
     h = F.col("h")
     windows = F.when(F.col("n") >= WINDOW, F.transform(F.sequence(F.lit(0), F.col("n") - WINDOW), lambda i: F.xxhash64(*[h[i + k] for k in range(WINDOW)])))
-    seen = hashed.select("doc_id", "w", "n", "n_symbols", "n_upper", "n_marks", "n_digits", "lines", "once", windows.alias("win"))
+    seen = hashed.select(*own, "w", "n", "n_symbols", "n_upper", "n_marks", "n_digits", "lines", "once", windows.alias("win"))
     flagged = seen.withColumn("repeats", F.size(F.array_distinct("win")) < F.size("win")).drop("win")
     w, n = F.col("w"), F.col("n")
     keyed = flagged.withColumn(
@@ -78,7 +81,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     p = F.col("at")
     covered = F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0), lambda acc, j: acc + F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - p[j], F.lit(WINDOW))))
     return starts.select(
-        "doc_id",
+        *own,
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long"),
@@ -88,6 +91,8 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("n_upper").cast("long"),
         F.col("n_marks").cast("long"),
         F.col("n_digits").cast("long"),
+        # not a function of the row, so that no filter is pushed below, where it would evaluate all of this several times
+        *([F.monotonically_increasing_id().alias("_at")] if row else []),
     )
 
 
@@ -219,9 +224,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **learn: float) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, **learn: float) -> DataFrame:
     """The documents that are kept, with all their columns.
 
-    Verdicts are joined by id; only rejected ids are moved, and where an id repeats, its rows go if all of them are
-    rejected. Rows with a null id are judged together in the same way.
+    Each row is judged by its own text, whatever its id: rules are learned from the labelled rows' statistics, and then the
+    verdict is an expression over each row's statistics, so nothing is joined and nothing but the filter touches the rows.
     """
-    judged = quality_rules(docs, labels, **learn)
-    bad = materialize(judged.groupBy(F.col("doc_id").alias("bad_id")).agg(F.max("kept").alias("any_kept")).where(~F.col("any_kept")).select("bad_id"), "rejected")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    wanted = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("l_id")).distinct()
+    stats = materialize(text_stats(docs), "stats")
+    rules = learn_rules(stats.join(wanted, stats["doc_id"] == wanted["l_id"], "left_semi"), labels, **learn)
+    judged = text_stats(docs, row=True)
+    return judged.where(~base_failed() & (rules.verdict() == 0) & (F.col("_at") >= 0)).select("_row.*")

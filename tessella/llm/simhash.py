@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import byte_chunks, map_arrow, materialize
+from tessella.llm.common import byte_chunks, discard, map_arrow, materialize, row_copy
 
 BITS = 64
 SEED = 42
@@ -147,7 +147,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        now = materialize(small, "small-star")
+        before, now = now, materialize(small, "small-star")
+        discard(before, large)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if new == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -172,22 +173,16 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, **how: int) -> DataFrame:
-    """One document of each component stays, as ``keep_one`` has it."""
-    return keep_one(docs, near_duplicates(docs, **how))
+def drop_near_duplicates(docs: DataFrame, *, size: int = 3, **how: int) -> DataFrame:
+    """One row of each component stays, with all its columns: the one with the least id, null ids last.
 
-
-def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One document of each component of ``found`` stays: the first with the least id. Rows with null ids all stay, as nothing
-    names them.
-
-    Only where an id repeats do whole rows move, to keep one row of them.
+    Rows are told apart by id and text, so rows that repeat an id with unlike texts are judged apart.
     """
-    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("k_id")).agg(F.count(F.lit(1)).alias("k_rows"))
-    keep = materialize(keep, "kept-ids")
-
-    def of(part: DataFrame) -> DataFrame:
-        return docs.join(part, docs["doc_id"] == part["k_id"], "left_semi")
-
-    once, more = of(keep.where("k_rows = 1")), of(keep.where("k_rows > 1")).dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.where(F.col("doc_id").isNull()))
+    from tessella.llm.near_copies import keep_rows
+
+    text = F.col("text").cast("string")
+    found = near_duplicates(docs.select(row_copy(text).alias("doc_id"), "text"), size=size, **how)
+    groups = materialize(found.groupBy(F.col("doc_id").alias("copy")).agg(F.min("component_id").alias("root")), "copy-components")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_copy(text).alias("copy"))
+    least = marked.join(groups, "copy").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("f"))
+    return keep_rows(docs, least.select(F.col("f.doc_id").alias("v_id"), F.col("f.copy").alias("v_copy")), marked)
