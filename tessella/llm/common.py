@@ -72,6 +72,25 @@ def row_copy(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+#: Slots of 64 bits of a row filter: 16 million bits, so what is broadcast has this bound at every size.
+SLOTS = 1 << 18
+
+
+def row_filter(verdicts: DataFrame) -> DataFrame:
+    """(slot, bits) over the ``v_copy`` of some rows: at most ``SLOTS`` rows, stored. A row that is not in it is not among them."""
+    slot = F.pmod(F.shiftright("v_copy", 6), F.lit(SLOTS)).alias("slot")
+    return materialize(verdicts.select(slot, F.expr("shiftleft(1L, cast(v_copy & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")), "row-filter")
+
+
+def in_filter(df: DataFrame, bits: DataFrame, *, inside: bool) -> DataFrame:
+    """The rows (with ``COPY``) that may be among the filter's, or those that cannot be. The larger the share of rows in the
+    filter, the more of the others it lets pass as well; what may be in is to be settled by an exact join."""
+    b = bits.select(F.col("slot").alias("_tessella_slot"), F.col("bits").alias("_tessella_bits"))
+    met = df.join(F.broadcast(b), F.pmod(F.shiftright(COPY, 6), F.lit(SLOTS)) == F.col("_tessella_slot"), "left")
+    hit = F.coalesce(F.expr(f"getbit(_tessella_bits, cast({COPY} & 63 as int))"), F.lit(0)) == 1
+    return met.where(hit if inside else ~hit).select(*df.columns)
+
+
 def same_row(df: DataFrame, other: DataFrame) -> Column:
     """Null-safe match of a row (``doc_id``, ``COPY``) with a verdict (``v_id``, ``v_copy``)."""
     return df["doc_id"].eqNullSafe(other["v_id"]) & (df[COPY] == other["v_copy"])
