@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from test_ops import WORD, lower
 from tessella.llm import near_copies, simhash
 
@@ -75,7 +76,8 @@ def test_rows_that_share_an_id_are_judged_apart(spark):
         assert sorted((r["doc_id"], r["text"]) for r in drop(frame).collect()) == want
 
 
-def test_a_mixed_bucket_links_members_that_its_centre_is_unlike(spark):
+@pytest.mark.parametrize("block", [2, 512])
+def test_a_mixed_bucket_links_members_that_its_centre_is_unlike(spark, monkeypatch, block):
     """Families of texts that share half their words fall into common buckets; pairs within a family must be found."""
     rng = random.Random(11)
     common = [f"w{k}" for k in range(60)]
@@ -86,6 +88,8 @@ def test_a_mixed_bucket_links_members_that_its_centre_is_unlike(spark):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "PART", block)
     assert ids_of(near_copies.drop_near_copies(frame)) == brute_kept(rows)
 
 
