@@ -2,6 +2,11 @@
 
 ``compile_rules`` parses each expression, joins their nondeterministic automata under one start, determinises by subset
 construction and minimises by partition refinement. The result is a pair of arrays, so it is sent to workers as data.
+
+Compiled ``backward`` and run from the last byte to the first, the automaton accepts at a byte where a match begins. Texts
+are cut into lanes that advance together, long texts into many. A lane starts some bytes before its own, in the state
+that most starts lead to; where the lane before it ends in another state after all, it runs again from that one, until
+all lanes agree. So the result is that of one pass over each whole text, however the text was cut.
 """
 
 from __future__ import annotations
@@ -156,50 +161,112 @@ class _Nfa:
 @dataclass(frozen=True)
 class Automaton:
     """``step[state * n_classes + byte_class[byte]]`` is the next state times ``n_classes``; states from
-    ``first_hit`` on accept the rules in the bits of ``accepts[state]``. State 0 is the start."""
+    ``first_hit`` on accept the rules in the bits of ``accepts[state]``. State 0 is the start; ``dead`` leads nowhere else."""
 
     byte_class: np.ndarray
     step: np.ndarray
     n_classes: int
     first_hit: int
     accepts: np.ndarray
+    dead: int
+
+    def longest(self, text: bytes, start: int) -> int:
+        """End of the longest match that begins at ``start`` (an anchored automaton), -1 without one."""
+        step, classes, limit, dead = self._lists()
+        state, end = 0, -1
+        for at in range(start, len(text)):
+            state = step[state + classes[text[at]]]
+            if state >= limit:
+                end = at + 1
+            elif state == dead:
+                break
+        return end
+
+    def _lists(self) -> tuple[list[int], list[int], int, int]:
+        if "lists" not in self.__dict__:
+            self.__dict__["lists"] = (self.step.tolist(), self.byte_class.tolist(), self.first_hit * self.n_classes, self.dead * self.n_classes)
+        return self.__dict__["lists"]
+
+    def starts(self, texts: list[bytes], lane: int = 4096, warm: int = 64, together: int = 2048) -> dict[int, list[tuple[int, int]]]:
+        """For a backward automaton: {text: [(byte, bits of the rules that match from there), ...]}, bytes ascending."""
+        lanes = [(t, lo, min(lo + lane, len(x))) for t, x in enumerate(texts) for lo in range(0, len(x), lane)]
+        found: list[list[tuple[int, int]]] = [[] for _ in lanes]
+        last = np.zeros(len(lanes), np.int32)
+        # lane k + 1 of a text comes before lane k on the way back
+        follows = np.array([k + 1 < len(lanes) and lanes[k + 1][0] == lanes[k][0] for k in range(len(lanes))], bool)
+        entry = np.full(len(lanes), -1, np.int32)
+        todo = list(range(len(lanes)))
+        while todo:
+            todo.sort(key=lambda k: lanes[k][2] - lanes[k][1])
+            for at in range(0, len(todo), together):
+                self._run(texts, lanes, todo[at : at + together], entry, found, last, warm)
+            wrong = np.flatnonzero(follows[:-1] & (entry[:-1] != last[1:])) if len(lanes) > 1 else np.zeros(0, int)
+            entry[wrong] = last[wrong + 1]
+            todo = wrong.tolist()
+        out: dict[int, list[tuple[int, int]]] = {}
+        for k, hits in enumerate(found):
+            if hits:
+                out.setdefault(lanes[k][0], []).extend(reversed(hits))
+        return out
 
-    def scan(self, texts: list[bytes], block: int = 2048) -> np.ndarray:
-        """Bits of the rules that match somewhere in each text. All texts advance together, one byte a step."""
-        hits = np.zeros(len(texts), np.int64)
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        sizes = np.array([len(texts[i]) for i in order])
-        state = np.zeros(len(order), np.int32)
+    def _run(self, texts, lanes, some, entry, found, last, warm) -> None:
+        """Run some lanes back to front; a lane with no entry state yet gets one from ``warm`` bytes after its end."""
+        pieces = {}
+        for k in some:
+            t, lo, hi = lanes[k]
+            pieces[k] = texts[t][lo : hi + warm] if entry[k] < 0 and hi < len(texts[t]) else texts[t][lo:hi]
+            found[k].clear()
+        some = sorted(some, key=lambda k: len(pieces[k]))
+        parts = [pieces[k] for k in some]
+        wide = max(map(len, parts))
+        grid = np.zeros((len(parts), wide), np.uint8)
+        for row, x in enumerate(parts):
+            grid[row, wide - len(x) :] = np.frombuffer(x, np.uint8)
+        columns = np.ascontiguousarray(self.byte_class.astype(np.uint8)[grid].T)
+        sizes = np.array([len(x) for x in parts])
+        own = np.array([lanes[k][2] - lanes[k][1] for k in some])
+        low = np.array([lanes[k][1] for k in some])
+        known = np.array([entry[k] for k in some])
+        now = np.where(known >= 0, known, 0).astype(np.int32)
         limit = self.first_hit * self.n_classes
-        which = np.array(order)
-        at = 0
-        while (live := int(np.searchsorted(-sizes, -at, side="left"))) and at < sizes[0]:
-            wide = int(min(block, sizes[0] - at))
-            grid = np.zeros((live, wide), np.uint8)
-            for row in range(live):
-                piece = texts[order[row]][at : at + wide]
-                grid[row, : len(piece)] = np.frombuffer(piece, np.uint8)
-            columns = np.ascontiguousarray(self.byte_class[grid].T)
-            now = state[:live].copy()
-            for column in columns:
-                now = self.step[now + column]
-                if now.max() >= limit:
-                    hit = np.flatnonzero(now >= limit)
-                    np.bitwise_or.at(hits, which[hit], self.accepts[now[hit] // self.n_classes])
-            state[:live] = now
-            at += wide
-        return hits
-
-
-def compile_rules(patterns: list[str]) -> Automaton:
-    """One automaton that finds each pattern anywhere in a text."""
+        rows = np.arange(len(parts))
+        turn = set((sizes - own).tolist())
+        for back in range(wide):
+            # lanes are sorted by length, so those that still run are the last ones
+            if back in turn:
+                ready = (sizes - own == back) & (known < 0)
+                for r in rows[ready].tolist():
+                    entry[some[r]] = now[r]
+            live = int(np.searchsorted(sizes, back, side="right")) if back else 0
+            now[live:] = self.step[now[live:] + columns[wide - 1 - back, live:]]
+            if now.max() >= limit:
+                for r in np.flatnonzero(now[live:] >= limit) + live:
+                    place = sizes[r] - 1 - back
+                    if place < own[r]:
+                        found[some[r]].append((int(low[r] + place), int(self.accepts[now[r] // self.n_classes])))
+        last[some] = now
+
+
+def _turned(tree):
+    """The tree of the reversed expression."""
+    kind = tree[0]
+    if kind == "seq":
+        return ("seq", [_turned(x) for x in reversed(tree[1])])
+    if kind == "or":
+        return ("or", [_turned(x) for x in tree[1]])
+    return tree if kind == "set" else ("rep", _turned(tree[1]), *tree[2:])
+
+
+def compile_rules(patterns: list[str], *, backward: bool = False, anchored: bool = False) -> Automaton:
+    """One automaton that finds each pattern anywhere in a text, or from its first byte on (``anchored``)."""
     nfa = _Nfa()
     start = nfa.state()
     final: dict[int, int] = {}
     for k, p in enumerate(patterns):
         begin = nfa.state()
         nfa.free[start].append(begin)
-        final[nfa.add(_Parser(p).parse(), begin)] = 1 << k
+        tree = _Parser(p).parse()
+        final[nfa.add(_turned(tree) if backward else tree, begin)] = 1 << k
     # bytes that no expression tells apart share a class
     sets = sorted({s for on in nfa.on for s, _ in on}, key=sorted)
     signature = [tuple(b in s for s in sets) for b in range(256)]
@@ -212,7 +279,7 @@ def compile_rules(patterns: list[str]) -> Automaton:
         now = todo.pop(0)
         row = []
         for b in sample:
-            to = nfa.closure({t for x in now for s, t in nfa.on[x] if b in s} | {start})
+            to = nfa.closure({t for x in now for s, t in nfa.on[x] if b in s} | (set() if anchored else {start}))
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
@@ -236,4 +303,5 @@ def compile_rules(patterns: list[str]) -> Automaton:
     chosen = first[rank]
     step = (place[part[table[chosen]]] * len(kinds)).astype(np.int32)
     accepts = mask[chosen]
-    return Automaton(byte_class, step.ravel(), len(kinds), int((accepts == 0).sum()), accepts)
+    stuck = np.flatnonzero((step == np.arange(parts)[:, None] * len(kinds)).all(axis=1) & (accepts == 0)) if anchored else []
+    return Automaton(byte_class, step.ravel(), len(kinds), int((accepts == 0).sum()), accepts, int(stuck[0]) if len(stuck) else -1)

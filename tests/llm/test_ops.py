@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from tessella.llm import automaton, chat, decontaminate, gru_lm, licenses, ordinal, packing, pii, quality_rules, secrets, simhash
+from tessella.llm import chat, decontaminate, gru_lm, licenses, ordinal, packing, pii, quality_rules, secrets, simhash
 from tessella.llm.queries import span_digests
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -304,13 +304,41 @@ def test_op8_against_regular_expressions(spark, docs, nothing):
     assert secrets.scan_secrets(docs).count() == docs.count() and secrets.scan_secrets(nothing).count() == 0
 
 
-def test_op8_automaton_equals_re():
+def test_op8_spans_equal_re_however_texts_are_cut():
     rng = random.Random(6)
-    rules = ["a(b|c)*d", "[ab]{2,3}c", "x?y+z", r"\x41[^B]B", "q.r"]
-    machine = automaton.compile_rules(rules)
-    texts = ["".join(rng.choice("abcdxyzABqr\n") for _ in range(rng.randint(0, 30))).encode() for _ in range(500)]
-    for bits, t in zip(machine.scan(texts, block=7).tolist(), texts):
-        assert bits == sum(1 << k for k, p in enumerate(rules) if re.search(p.encode(), t)), t
+    parts = ["password", "Secret", "TOKEN", "api_key", "=", ":", " ", '"', "'", "abcdefgh", "0123456789abcdef", "AKIA", "ABCDEFGH1234", "\n", "é", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "xoxb-", "a" * 40, "eyJ", ".", "token: secret:"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))).encode() for _ in range(800)]
+    made = secrets.machine(secrets.RULES)
+    want = {}
+    for t, x in enumerate(texts):
+        here = []
+        for k, rule in enumerate(secrets.RULES):
+            for m in re.finditer(rule.finds.encode(), x):
+                first = re.match(rule.head.encode(), x[m.start() :]).end() if rule.head else 0
+                if m.end() - m.start() - first >= rule.least:
+                    here.append((m.start(), k, m.end()))
+        if here:
+            want[t] = sorted(here)
+    assert want == made.spans(texts) == made.spans(texts, lane=7, warm=0, together=50) == made.spans(texts, lane=16, warm=3, together=64)
+
+
+def test_op8_one_long_text_takes_about_as_long_as_many_short_ones():
+    import time
+
+    rng = random.Random(7)
+    made = secrets.machine(secrets.RULES)
+    words = "the of deadbeef cafe token = and secret a1 B2 eyJa.".split()
+    texts = [" ".join(rng.choice(words) for _ in range(350)).encode() for _ in range(540)]
+    made.spans(texts[:2])
+    begin = time.process_time()
+    made.spans(texts)
+    many = time.process_time() - begin
+    begin = time.process_time()
+    made.spans([b" ".join(texts)])
+    assert time.process_time() - begin < 8 * many + 0.5
+    begin = time.process_time()
+    made.spans([b"eyJa" * 20_000, b"a" * 300_000])
+    assert time.process_time() - begin < 8
 
 
 def test_op9_tells_licences_apart(spark, docs, nothing):
