@@ -9,16 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values -------------------------------------------------------------------------------------------------------
-#: Words that never count as terms: common English words.
-COMMON_WORDS = """a about above after again against all am an and any are aren as at be because been before being below
+#: Words that never count as terms: common English words, then those of any job advertisement.
+STOP_WORDS = """a about above after again against all am an and any are aren as at be because been before being below
 between both but by can cannot could couldn did didn do does doesn doing don down during each few for from further had
 hadn has hasn have haven having he her here hers herself him himself his how i if in into is isn it its itself just let
 ll me more most mustn my myself no nor not of off on once only or other ought our ours ourselves out over own re same
 shan she should shouldn so some such than that the their theirs them themselves then there these they this those through
 to too under until up ve very was wasn we were weren what when where which while who whom why will with won would wouldn
-you your yours yourself yourselves""".split()
-#: Words that never count as terms: those of any job advertisement.
-ADVERT_WORDS = """ability able across also applicant apply candidate candidates company description ensure etc
+you your yours yourself yourselves ability able across also applicant apply candidate candidates company description ensure etc
 experience including job must new please position preferred qualifications related required requirements role strong
 team well work working years summary overview responsibilities responsibility duties seeking join opportunity benefits
 salary applicants employer posting hire hiring day days week weeks month months full part time based include""".split()
@@ -73,7 +71,7 @@ def lines(text: Column | str) -> Column:
 def words(text: Column | str) -> Column:
     """Lower-case words without outer dots, two characters or more, none of the common ones."""
     found = F.transform(F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD), F.lit(0)), lambda w: F.trim(w, F.lit(".")))
-    return F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(COMMON_WORDS + ADVERT_WORDS))
+    return F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
 
 
 def _cut(x: Column, n: int) -> Column:

@@ -1,4 +1,4 @@
-"""Explained matches: weighted coverage, strengths, gaps, evidence (E1, A10, J7-J9, J13, W12, T-4 to T-7, P16, F6).
+"""Explained matches: weighted coverage, strengths, gaps, evidence (E1, E2, A10, J7-J9, J13, W12, T-4 to T-7, P16, F6).
 
 All jobs are explained at once against one profile, given as chunks (profile_chunks: chunk_id, section, text). A job's corpus is
 the chunks and the job itself, N = chunks + 1, and each of the job's terms has a document frequency one above the
@@ -7,11 +7,15 @@ chunks'. Ties in weight go to the term that stands first among the job's terms (
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import elide, pairs, stems, words
+from tessella.functions.text import STOP_WORDS, elide, pairs, stems, words
+from tessella.operators.dense import top_hits
 from tessella.operators.tfidf import cosine, idf, term_counts, tf_weight
+from tessella.sources.storage import spread, stored
 
 KEY_TERMS = 30
 
@@ -30,13 +34,16 @@ def verdict(coverage: Column) -> Column:
 
 
 def explain(chunks: DataFrame, jobs: DataFrame, *, job_id: str = "job_id", text: str = "text", top_terms: int = 10, top_chunks: int = 5, key_terms: int = KEY_TERMS) -> DataFrame:
-    """One row per job with a term: coverage, score, verdict, similarity, strengths, gaps, best chunks, rationale."""
-    per_chunk = term_counts(chunks, "chunk_id")
+    """One row per job with a term: coverage, score, verdict, similarity, strengths, gaps, best chunks, rationale.
+
+    Chunks are read and counted once, into shared storage. A job without a term (null, blank, common words only) has no row;
+    without chunks every coverage is 0; rows that repeat a job's id count as one text."""
+    per_chunk = stored(term_counts(spread(chunks.select("chunk_id", "text")), "chunk_id"), "chunk-terms")
     n = chunks.agg((F.count(F.lit(1)) + 1).alias("n"))
-    profile = per_chunk.groupBy("term").agg(F.sum("tf").alias("ptf"), F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", tf_weight(F.col("ptf")).alias("pw"), idf(F.col("n"), F.col("df")).alias("i0"), idf(F.col("n"), F.col("df") + 1).alias("i1"))
+    profile = stored(per_chunk.groupBy("term").agg(F.sum("tf").alias("ptf"), F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", tf_weight(F.col("ptf")).alias("pw"), idf(F.col("n"), F.col("df")).alias("i0"), idf(F.col("n"), F.col("df") + 1).alias("i1")), "profile-terms")
     jt = job_terms(jobs, job_id, text).crossJoin(F.broadcast(n)).join(profile, "term", "left")
     jt = jt.withColumn("weight", tf_weight(F.col("tf")) * F.coalesce("i1", idf(F.col("n"), F.lit(1)))).withColumn("has", F.col("pw").isNotNull())
-    jt = jt.withColumn("overlap", F.col("weight") * F.col("pw") * F.col("i1"))
+    jt = stored(jt.withColumn("overlap", F.col("weight") * F.col("pw") * F.col("i1")), "job-terms")
     by_weight = Window.partitionBy("job_id").orderBy(F.desc("weight"), "first_pos")
     by_overlap = Window.partitionBy("job_id", "has").orderBy(F.desc("overlap"), F.desc("weight"), "first_pos")
     ranked = jt.withColumn("place", F.row_number().over(by_weight)).withColumn("side", F.row_number().over(by_overlap))
@@ -101,3 +108,42 @@ def evidence(top: DataFrame, per_chunk: DataFrame, scores: DataFrame, chunks: Da
     picked = per_job.select("job_id", F.posexplode(F.aggregate("wanted", start, pick)).alias("o", "s"))
     quoted = picked.select("job_id", "o", "s.requirement", "s.chunk_id").join(chunks.select("chunk_id", elide("text").alias("evidence")), "chunk_id")
     return quoted.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "requirement", "evidence", "chunk_id"))), lambda x: F.struct(x["requirement"].alias("requirement"), x["evidence"].alias("evidence"), x["chunk_id"].alias("chunk_id"))).alias("strengths"))
+
+
+def similarity(chunks: DataFrame, jobs: DataFrame, *, backend: str = "stem", embed: Callable[[DataFrame], DataFrame] | None = None, job_id: str = "job_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((job_id, similarity) of the whole profile, (job_id, chunk_id, chunk_score)) by one of three back ends.
+
+    ``stem``: stemmed terms, a corpus of the chunks and the job. ``raw``: unstemmed words of two characters or more, and the
+    joined profile is one more text of the corpus. ``dense``: cosine of the vectors that ``embed`` adds as ``embedding`` to rows
+    with ``chunk``; without ``embed`` it is an error. Pairs without a common term are left out by the first two."""
+    if backend == "dense":
+        if embed is None:
+            raise ValueError("the dense back end needs a function that embeds texts")
+        gather = lambda df, i: embed(df.select(F.col(i).alias("id"), F.col("text").alias("chunk"))).select("id", "embedding")
+        j = gather(jobs.select(job_id, F.col(text).alias("text")), job_id).select(F.col("id").alias("query_id"), "embedding")
+        c = gather(chunks, "chunk_id").withColumn("ordinal", F.xxhash64("id"))
+        every = top_hits(j, c, k=max(1, chunks.count()))
+        whole = chunks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n").alias("text")).select(F.lit(0).alias("profile"), "text")
+        p = gather(whole, "profile").withColumn("ordinal", F.lit(0).cast("long"))
+        return top_hits(j, p, k=1).select(F.col("query_id").alias(job_id), "similarity"), every.select(F.col("query_id").alias(job_id), F.col("id").alias("chunk_id"), F.col("similarity").alias("chunk_score"))
+    if backend not in ("stem", "raw"):
+        raise ValueError(f"unknown back end {backend!r}; one of stem, raw, dense")
+    raw = backend == "raw"
+    count = (lambda df, i: raw_counts(df, i)) if raw else term_counts
+    own = 1 if raw else 0  # the profile itself in the corpus
+    per_chunk = stored(count(chunks.select("chunk_id", "text"), "chunk_id"), "chunk-terms")
+    n = chunks.agg((F.count(F.lit(1)) + 1 + own).alias("n"))
+    profile = per_chunk.groupBy("term").agg(F.sum("tf").alias("ptf"), (F.count(F.lit(1)) + own).alias("df")).crossJoin(F.broadcast(n)).select("term", tf_weight(F.col("ptf")).alias("pw"), idf(F.col("n"), F.col("df")).alias("i0"), idf(F.col("n"), F.col("df") + 1).alias("i1"))
+    jt = count(jobs.select(F.col(job_id).alias("job_id"), F.col(text).alias("text")), "job_id").crossJoin(F.broadcast(n)).join(profile, "term", "left")
+    jt = jt.select("job_id", "term", "pw", "i0", "i1", F.col("pw").isNotNull().alias("has"), (tf_weight(F.col("tf")) * F.coalesce("i1", idf(F.col("n"), F.lit(1)))).alias("weight"))
+    p2 = profile.agg(F.sum(F.pow(F.col("pw") * F.col("i0"), 2)).alias("p2"))
+    more = F.sum(F.pow("pw", F.lit(2)) * (F.pow("i1", F.lit(2)) - F.pow("i0", F.lit(2))))
+    whole = jt.groupBy("job_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("j2"), F.sum(F.col("weight") * F.col("pw") * F.col("i1")).alias("dot"), more.alias("more")).crossJoin(F.broadcast(p2)).where("dot IS NOT NULL")
+    return whole.select(F.col("job_id").alias(job_id), cosine(F.col("dot"), F.col("j2"), F.col("p2") + F.col("more")).alias("similarity")), chunk_scores(per_chunk, profile, jt).withColumnRenamed("job_id", job_id)
+
+
+def raw_counts(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, tf) of unstemmed words of two characters or more that are no common words, and their neighbouring pairs."""
+    found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
+    rows = docs.select(id_col, found.alias("w")).select(id_col, F.explode_outer(pairs(F.col("w"))).alias("term")).where(F.col("term").isNotNull())
+    return rows.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -1,4 +1,4 @@
-"""Repair of damaged text by the corpus's own vocabulary.
+"""Repair of damaged text by the corpus's own vocabulary, and what damage is left (A11-A13, F13-F16, P10-P12, U6, J12, T-9).
 
 Repairs are decided once per distinct token and then replaced in texts. A long token's possible parts are joined to the
 vocabulary as rows, so no vocabulary is broadcast; only the last step, a dynamic programme over one token's known parts, is
@@ -7,7 +7,6 @@ Python.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -20,6 +19,9 @@ SHORT_WORDS = "a i an as at be by do go he if in is it me my no of on or so to u
 RUN_ON, LONGEST, PIECE = 16, 20, 12
 LIGATURES = [("ki", "fi"), ("kl", "fl")]
 DAMAGED = 0.0025
+#: Letters of a long token that one row holds.
+SLICE = 256
+PARTS = "array<struct<word:string,n:bigint,known:boolean,logp:double>>"
 _SEAM = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z][A-Z])(?=[a-z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
@@ -97,10 +99,7 @@ def token_repairs(texts: DataFrame, vocab: DataFrame, *, text: str = "text") ->
     cased = F.when(F.upper("token") == F.col("token"), F.upper("word")).when(F.col("token").rlike("^[A-Z]"), F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 100))).otherwise(F.col("word"))
     ligatures = good.select("token", cased.alias("repaired"), F.lit("ligature").alias("kind"))
     long = open_.where(F.length("token") >= RUN_ON).select("token", "low")
-    n = F.length("low")
-    starts = long.select("token", "low", F.explode(F.sequence(F.lit(1), n)).alias("at"))
-    parts = starts.select("token", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - F.col("at") + 1)), lambda k: F.substring("low", F.col("at"), k))).alias("word")).distinct()
-    found = parts.join(vocab, "word").groupBy("token").agg(F.collect_list(F.struct("word", "n", "known", "logp")).alias("parts"))
+    found = known_parts(long, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +109,7 @@ def token_repairs(texts: DataFrame, vocab: DataFrame, *, text: str = "text") ->
                 out.append(split_run_on(token, logp, {w["word"]: w["n"] for w in words}, {w["word"] for w in words if w["known"]}))
             yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(out, pa.string())], ["token", "repaired"])
 
-    runs = long.select("token").join(found, "token", "left").select("token", F.coalesce("parts", F.array().cast("array<struct<word:string,n:bigint,known:boolean,logp:double>>")).alias("parts")).mapInArrow(run, "token string, repaired string").where("repaired IS NOT NULL")
+    runs = found.mapInArrow(run, "token string, repaired string").where("repaired IS NOT NULL")
     return ligatures.unionByName(runs.join(ligatures, "token", "left_anti").withColumn("kind", F.lit("run_on")))
 
 
@@ -133,6 +132,36 @@ def repair_texts(texts: DataFrame, repairs: DataFrame, *, key: str = "file_name"
     return joined.select(key, text, "fix", F.coalesce("repaired_tokens", F.lit(0)).cast("long").alias("repaired_tokens")).mapInArrow(run, f"{key} {kind}, {text} string, repaired_tokens long")
 
 
-def log_floor(total: int) -> float:
-    """Weight of a word without a count."""
-    return math.log(0.1 / max(total, 1))
+def known_parts(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(token, parts) for (token, low): the vocabulary's words among a token's parts of at most ``LONGEST`` letters.
+
+    A token is cut into slices first and its rows carry a hash of it, so a very long one is never copied per part."""
+    named = tokens.withColumn("h", F.xxhash64("token"))
+    slices = named.select("h", F.explode(F.transform(F.sequence(F.lit(1), F.length("low"), F.lit(SLICE)), lambda at: F.substring("low", at, F.lit(SLICE + LONGEST - 1)))).alias("part"))
+    part, n = F.col("part"), F.length("part")
+    inner = F.transform(F.sequence(F.lit(1), n), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - at + 1)), lambda k: F.substring(part, at, k)))
+    words = slices.select("h", F.explode(F.array_distinct(F.flatten(inner))).alias("word")).distinct()
+    found = words.join(vocab, "word").groupBy("h").agg(F.collect_list(F.struct("word", "n", "known", "logp")).alias("parts"))
+    return named.join(found, "h", "left").select("token", F.coalesce("parts", F.array().cast(PARTS)).alias("parts"))
+
+
+def residual_damage(texts: DataFrame, vocab: DataFrame, *, key: str = "file_name", text: str = "text") -> DataFrame:
+    """(key, tokens, residual, ratio, damaged): the share of a text's tokens that are long, no word of the dictionary
+    and without a split into known words. A text without tokens has the ratio 0. T-9 orders by falling ratio."""
+    each = _tokens(texts, text, key)
+    long = each.where(F.length("token") >= RUN_ON).select("token").distinct().withColumn("low", F.lower("token"))
+    known = vocab.where("known").select(F.col("word").alias("low"))
+    open_ = long.join(known, "low", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = []
+            for token, words in zip(batch.column("token").to_pylist(), batch.column("parts").to_pylist()):
+                whole.append(segment(token.lower(), {w["word"]: w["logp"] for w in words if w["logp"] is not None}) is None)
+            yield batch.select(["token"]).filter(pa.array(whole, pa.bool_()))
+
+    stuck = known_parts(open_, vocab).mapInArrow(run, "token string").withColumn("stuck", F.lit(1))
+    counted = each.join(stuck, "token", "left").groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("tokens"), F.count("stuck").alias("residual"))
+    rows = texts.select(key).distinct().join(counted, F.col(key).eqNullSafe(F.col("_key")), "left")
+    ratio = F.when(F.col("tokens") > 0, F.col("residual") / F.col("tokens")).otherwise(F.lit(0.0))
+    return rows.select(key, F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("residual", F.lit(0)).alias("residual"), ratio.alias("ratio"), (ratio > DAMAGED).alias("damaged"))

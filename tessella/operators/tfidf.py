@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import pairs, stems, words
+from tessella.sources.storage import spread, stored
 
 
 def term_counts(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
@@ -53,10 +54,11 @@ def cosine(dot: Column, a2: Column, b2: Column) -> Column:
 def rank_tfidf(profiles: DataFrame, postings: DataFrame, *, profile_id: str = "profile_id", posting_id: str = "posting_id", text: str = "text") -> DataFrame:
     """(profile_id, posting_id, similarity, score) for all pairs that share a term.
 
-    Similarities of other pairs are 0 (``with_unranked`` adds them). The profiles' terms are broadcast only if the planner
+    Postings are read and counted once, into shared storage. A null or blank text has no terms and so no pair; rows that repeat
+    an id count as one posting's text; with no postings or no profiles the ranking is empty. Similarities of other pairs are 0 (``with_unranked`` adds them). The profiles' terms are broadcast only if the planner
     finds them small; otherwise both sides are dealt out by term.
     """
-    d = term_counts(postings.select(F.col(posting_id).alias("d_id"), text), "d_id", text)
+    d = stored(term_counts(spread(postings.select(F.col(posting_id).alias("d_id"), text)), "d_id", text), "term-counts")
     p = term_counts(profiles.select(F.col(profile_id).alias("p_id"), text), "p_id", text).select("p_id", "term", tf_weight(F.col("tf")).alias("pw"))
     n = postings.agg((F.count(F.lit(1)) + 1).alias("n"))  # one row
     frequency = document_frequency(d).crossJoin(F.broadcast(n)).select("term", idf(F.col("n"), F.col("df")).alias("i0"), idf(F.col("n"), F.col("df") + 1).alias("i1"))

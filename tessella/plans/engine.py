@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import coverage, dense, index, profile, repair, tfidf
+from tessella.operators import coverage, dedupe, dense, index, profile, repair, review, tfidf
 from tessella.sources.storage import stored
 
 BACKENDS = ("tfidf", "dense")
 
 
+@dataclass(frozen=True)
+class BuiltProfile:
+    """A profile's lines, its rendered text and hash, whether the file at hand was the same, and the review."""
+
+    lines: DataFrame
+    body: str
+    content_hash: str | None
+    unchanged: bool
+    review: review.Review
+
+
 class Engine:
     """``store``: folder of the chunk index (dense backend). ``embed``: DataFrame -> DataFrame that adds ``embedding`` to rows
     with ``chunk``; without it the dense backend asks for tables that have vectors already."""
@@ -62,7 +76,31 @@ class Engine:
 
     def build_profile(self, documents: DataFrame, *, dictionary: DataFrame | None = None, keep_contact: bool = False, key: str = "file_name") -> DataFrame:
         """Repaired, reflowed, sectioned, redacted and de-duplicated lines of documents (key, text)."""
+        return self._built(documents, dictionary, keep_contact, key)[0]
+
+    def _built(self, documents: DataFrame, dictionary: DataFrame | None, keep_contact: bool, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """The profile's lines, those before de-duplication, the repaired texts and the vocabulary."""
         good = documents.where(F.col("text").isNotNull())
         vocab = stored(repair.vocabulary(good, dictionary), "vocabulary")  # T21: built once, from the raw texts
-        repaired = repair.repair_texts(good, stored(repair.token_repairs(good, vocab), "repairs"), key=key)
-        return profile.build_profile(repaired, key=key, keep_contact=keep_contact)
+        repaired = stored(repair.repair_texts(good, stored(repair.token_repairs(good, vocab), "repairs"), key=key), "repaired")
+        raw = stored(profile.profile_lines(repaired, key=key, keep_contact=keep_contact), "profile-lines")
+        return dedupe.dedupe_exact(raw, order=(key, "line_no")), raw, repaired, vocab
+
+    def profile_with_review(self, documents: DataFrame, *, path: str | None = None, dictionary: DataFrame | None = None, keep_contact: bool = False, key: str = "file_name") -> BuiltProfile:
+        """E7 in full: the profile with its near-duplicate clusters, poor files and counts (K1, K2, A19). ``documents`` has an
+        ``error`` column, as ``extract_documents`` gives it. With ``path`` the rendered profile is written there, unless the
+        same text is there already (``unchanged``)."""
+        lines, raw, repaired, vocab = self._built(documents, dictionary, keep_contact, key)
+        kept = stored(lines, "profile")
+        found = review.review(documents, raw, kept, repair.residual_damage(repaired, vocab, key=key), repaired, key=key)
+        made = profile.render_profile(kept, key=key).first()
+        unchanged = False
+        if path:
+            try:
+                before = self.spark.read.text(path, wholetext=True).first()
+            except AnalysisException:
+                before = None
+            unchanged = before is not None and before[0].rstrip("\n") == (made["body"] or "").rstrip("\n")
+            if not unchanged:
+                self.spark.createDataFrame([(made["body"] or "",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return BuiltProfile(kept, made["body"] or "", made["content_hash"], unchanged, found)

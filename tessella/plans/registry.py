@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import cost, coverage, dedupe, dense, index, judge, profile, repair, tfidf
+from tessella.operators import cost, coverage, dedupe, dense, index, judge, profile, repair, review, tfidf
 from tessella.plans import sql
-from tessella.sources.files import postings_of
+from tessella.sources.files import latex_texts, postings_of
+from tessella.sources.storage import spread
 
 FLAGSHIP = "e3_tfidf_rank"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,14 +42,22 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    r"""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10))[1:8], lambda x: regexp_matches(x, '(?i)^\s*(title|role|company|employer|location)\s*:\s*\S')) AS h,
-        regexp_replace(coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))[1], ''), '^\s+|\s+$', '', 'g') AS first FROM documents WHERE regexp_matches(text, '\S'))
-    SELECT doc_id, first AS title, '' AS company, '' AS location, first AS label, left(sha256(text), 16) AS content_hash FROM l"""
+    r"""WITH p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'Title: Job ' || doc_id || ' at ' || source || chr(10) || '  company :' || source || ' ' || chr(10) || 'LOCATION: ' || lang || chr(10) || text
+            ELSE 'role: Clerk' || chr(10) || 'Employer: ' || lang || ' & Co' || chr(10) || text END AS text FROM documents WHERE regexp_matches(text, '\S')),
+        l AS (SELECT *, regexp_replace(coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))[1], ''), '^\s+|\s+$', '', 'g') AS first FROM p)
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN first WHEN 1 THEN 'Job ' || doc_id || ' at ' || (SELECT source FROM documents d WHERE d.doc_id = l.doc_id) ELSE 'Clerk' END AS title,
+        CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN (SELECT source FROM documents d WHERE d.doc_id = l.doc_id) ELSE (SELECT lang FROM documents d WHERE d.doc_id = l.doc_id) || ' & Co' END AS company,
+        CASE doc_id % 3 WHEN 1 THEN (SELECT lang FROM documents d WHERE d.doc_id = l.doc_id) ELSE '' END AS location,
+        CASE doc_id % 3 WHEN 0 THEN first WHEN 1 THEN 'Job ' || doc_id || ' at ' || (SELECT source FROM documents d WHERE d.doc_id = l.doc_id) ELSE 'Clerk - ' || (SELECT lang FROM documents d WHERE d.doc_id = l.doc_id) || ' & Co' END AS label,
+        left(sha256(text), 16) AS content_hash FROM l"""
 )
 def s1_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header fields, label and hash of each posting that is not blank."""
+    """Header fields, label and hash of each posting that is not blank. Two of three get header lines here."""
     rows = _t(spark, sf_dir, "documents").where(F.length(T.strip("text")) > 0)
-    made = postings_of(rows.select("doc_id", F.col("doc_id").cast("string").alias("slug"), "text"))
+    job = F.concat(F.lit("Title: Job "), "doc_id", F.lit(" at "), "source", F.lit("\n  company :"), "source", F.lit(" \nLOCATION: "), "lang", F.lit("\n"), "text")
+    clerk = F.concat(F.lit("role: Clerk\nEmployer: "), "lang", F.lit(" & Co\n"), "text")
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, job).otherwise(clerk)
+    made = postings_of(spread(rows.select("doc_id", F.col("doc_id").cast("string").alias("slug"), text.alias("text"))))
     return made.select("doc_id", "title", "company", "location", "label", "content_hash")
 
 
@@ -56,7 +65,7 @@ def s1_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a2_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and smoothed idf of every term."""
     docs = _t(spark, sf_dir, "documents")
-    df = tfidf.document_frequency(tfidf.term_counts(docs, "doc_id"))
+    df = tfidf.document_frequency(tfidf.term_counts(spread(docs.select("doc_id", "text")), "doc_id"))
     n = docs.agg((F.count(F.lit(1)) + 1).alias("n"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(tfidf.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
@@ -69,26 +78,25 @@ def e3_tfidf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {sql.RANK}, r AS (SELECT doc_id, similarity FROM ranking WHERE item_id = 0), a AS (SELECT doc_id, round(coalesce(similarity, 0), 6) AS similarity, similarity IS NULL AS unranked FROM documents LEFT JOIN r USING (doc_id))
-    SELECT *, row_number() OVER (ORDER BY unranked, similarity DESC, doc_id) AS place FROM a"""
+    f"""WITH {sql.RANK}, a AS (SELECT b.item_id, d.doc_id, round(coalesce(similarity, 0), 6) AS similarity, similarity IS NULL AS unranked FROM benchmark b CROSS JOIN documents d LEFT JOIN ranking r ON r.item_id = b.item_id AND r.doc_id = d.doc_id)
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY unranked, similarity DESC, doc_id) AS place FROM a"""
 )
 def j2_full_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2, U2, T-1, T-2, W8: one profile's ranking with the postings that it lacks behind; a ranking is one ordered list."""
-    from pyspark.sql import Window
-
-    docs, items = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark").where("item_id = 0")
+    """J2, U2, T-1, T-2, W8: every profile's ranking with the postings that it lacks behind: by definition a row for each pair."""
+    docs, items = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
     full = tfidf.with_unranked(tfidf.rank_tfidf(items, docs, profile_id="item_id", posting_id="doc_id"), items, docs, profile_id="item_id", posting_id="doc_id")
     rounded = full.select("item_id", "doc_id", F.round("similarity", 6).alias("similarity"), "unranked")
-    return rounded.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("unranked", F.desc("similarity"), "doc_id"))).drop("item_id")
+    return rounded.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("unranked", F.desc("similarity"), "doc_id")))
 
 
-@_query(f"""WITH {sql.RANK}, r AS (SELECT doc_id, round(similarity, 6) AS similarity FROM ranking WHERE item_id = 0 ORDER BY round(similarity, 6) DESC, doc_id LIMIT 5)
-    SELECT doc_id, similarity, left(sha256(text), 16) AS content_hash FROM r JOIN documents USING (doc_id) WHERE similarity > 0""")
+@_query(f"""WITH {sql.RANK}, r AS (SELECT item_id, doc_id, round(similarity, 6) AS similarity FROM ranking QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 6) DESC, doc_id) <= 5)
+    SELECT item_id, doc_id, similarity, left(sha256(text), 16) AS content_hash FROM r JOIN documents USING (doc_id) WHERE similarity > 0""")
 def t3_selected_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-3, P9, J3, E8: the top five postings of a profile with their texts; the limit is the feature."""
-    docs, items = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark").where("item_id = 0")
-    top = tfidf.rank_tfidf(items, docs, profile_id="item_id", posting_id="doc_id").select("doc_id", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "doc_id").limit(5)
-    return top.where("similarity > 0").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "similarity", T.content_hash("text").alias("content_hash"))
+    """T-3, P9, J3, E8: the top five postings of every profile with their texts; the limit is the feature."""
+    docs, items = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    ranked = tfidf.rank_tfidf(items, docs, profile_id="item_id", posting_id="doc_id").select("item_id", "doc_id", F.round("similarity", 6).alias("similarity"))
+    top = ranked.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("similarity"), "doc_id"))).where("place <= 5 AND similarity > 0")
+    return top.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", "similarity", T.content_hash("text").alias("content_hash"))
 
 
 @_query(
@@ -207,18 +215,66 @@ def a11_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.vocabulary(_t(spark, sf_dir, "documents")).select("word", "n", F.round("logp", 9).alias("logp"))
 
 
+_HARMED = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(replace(replace(replace(text, 'ti', 'fi'), 'sh', 'fl'), 'fi', 'ki'), 'fl', 'kl') ELSE replace(replace(text, 'ti', 'fi'), 'sh', 'fl') END AS text FROM documents)"
+
+
+def _harmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ligatures, which every fifth of them has lost."""
+    text = F.replace(F.replace("text", F.lit("ti"), F.lit("fi")), F.lit("sh"), F.lit("fl"))
+    lost = F.replace(F.replace(text, F.lit("fi"), F.lit("ki")), F.lit("fl"), F.lit("kl"))
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, lost).otherwise(text).alias("text")))
+
+
 @_query(
-    f"""{_VOCAB}, t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM documents), o AS (SELECT token, lower(token) AS low, coalesce(n, 0) AS own FROM t LEFT JOIN m ON word = lower(token) WHERE length(token) >= 4),
+    f"""{_VOCAB.replace("FROM documents", "FROM " + _HARMED)}, t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM {_HARMED}), o AS (SELECT token, lower(token) AS low, coalesce(n, 0) AS own FROM t LEFT JOIN m ON word = lower(token) WHERE length(token) >= 4),
     f AS (SELECT token, own, 0 AS i, replace(low, 'ki', 'fi') AS fixed FROM o WHERE contains(low, 'ki') UNION ALL SELECT token, own, 1, replace(low, 'kl', 'fl') FROM o WHERE contains(low, 'kl')),
     g AS (SELECT token, arg_min(fixed, i) AS fixed FROM f JOIN m ON word = fixed WHERE n > own GROUP BY token)
     SELECT token, CASE WHEN upper(token) = token THEN upper(fixed) WHEN regexp_matches(token, '^[A-Z]') THEN upper(fixed[1]) || fixed[2:] ELSE fixed END AS repaired FROM g"""
 )
 def f13_ligatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens whose ligature was read wrongly."""
-    docs = _t(spark, sf_dir, "documents")
+    docs = _harmed(spark, sf_dir)
     return repair.token_repairs(docs, repair.vocabulary(docs)).where("kind = 'ligature'").select("token", "repaired")
 
 
+@_query(
+    f"""{_VOCAB}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM documents), c AS (SELECT doc_id, count(*) AS tokens, count(*) FILTER (WHERE length(token) >= 16) AS long_tokens FROM t GROUP BY doc_id)
+    SELECT doc_id, coalesce(tokens, 0) AS tokens, coalesce(long_tokens, 0) AS long_tokens FROM documents LEFT JOIN c USING (doc_id)"""
+)
+def a13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13's denominator, and the tokens that its test of a split is put to."""
+    docs = _t(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).groupBy("doc_id")
+    return counted.agg(F.count("token").alias("tokens"), F.count_if(F.length("token") >= repair.RUN_ON).alias("long_tokens"))
+
+
+@_query()
+def a13_residual_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each document's tokens that stay run together."""
+    docs = _t(spark, sf_dir, "documents")
+    return repair.residual_damage(docs, repair.vocabulary(docs), key="doc_id")
+
+
+@_query()
+def t8_line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-8, J10, A16: near-duplicate lines of all documents, by cluster."""
+    rows = _lines(spark, sf_dir).select("doc_id", "line_no", F.col("lang").alias("section"), F.col("line").alias("text"))
+    return review.line_clusters(rows, key="doc_id")
+
+
+@_query(
+    r"""SELECT doc_id, 'Job ' || doc_id || chr(10) || source || ' — ' || lang || chr(10) || '50% & more_' || lang || chr(10) || chr(10) || '• ' || source || ' | ' || lang AS text FROM documents"""
+)
+def f20_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LaTeX sources made of every document's fields, read back as text."""
+    docs = _t(spark, sf_dir, "documents")
+    source = F.concat(
+        F.lit("\\documentclass[a4]{article}% no\n\\begin{document}\\setcounter{page}{1}\\section*{Job "), F.col("doc_id").cast("string"), F.lit("}\n\\cvitem{"), "source", F.lit("}{\\textbf{"), "lang", F.lit("}}\n50\\% \\& {\\bf more\\_"), "lang",
+        F.lit("}\\vspace{2pt}\\begin{tabular}{ll}\\item "), "source", F.lit(" & \\textcolor{red}{"), "lang", F.lit("}\\faIcon{x}\\end{tabular}\n\\end{document} tail"),
+    )
+    return latex_texts(docs.select("doc_id", source.alias("text")))
+
+
 @_query()
 def f14_run_ons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-together tokens and their split."""
@@ -296,9 +352,33 @@ def n2_parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_id", "outcome", F.round("score", 6).alias("score"), "verdict", F.when(F.col("notes").isNotNull(), F.size("notes")).alias("n_notes"))
 
 
-@_query(f"SELECT doc_id, CAST((length(text) + {len(judge.INSTRUCTIONS)} + (SELECT length(text) FROM benchmark WHERE item_id = 0)) // 4 AS BIGINT) AS tokens FROM documents")
+@_query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS n_strengths, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS n_notes,
+    CASE event_id % 6 WHEN 1 THEN event_type WHEN 2 THEN event_type WHEN 4 THEN event_type WHEN 5 THEN event_type END AS first, CASE event_id % 6 WHEN 2 THEN 'high' WHEN 5 THEN 'unknown' END AS severity FROM events"""
+)
+def n3_coerced_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that are missing, text, objects, of another type, mixed with foreign entries, or hold empty requirements."""
+    e = _t(spark, sf_dir, "events")
+    kind, k = F.to_json(F.struct("event_type")), F.col("event_id") % 6
+    item = lambda extra: F.concat(F.lit('{"requirement": "'), "event_type", F.lit('", '), F.lit(extra), F.lit("}"))
+    strengths = (
+        F.when(k == 0, F.lit("null")).when(k == 1, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(k == 2, F.concat(F.lit("["), item('"evidence": null'), F.lit(', "b"]')))
+        .when(k == 3, kind).when(k == 4, F.concat(F.lit("["), item('"evidence": 3'), F.lit(', 7, {"requirement": ""}, "x"]'))).otherwise(F.concat(F.lit("["), item('"evidence": ""'), F.lit("]")))
+    )
+    gaps = F.when(k == 2, F.concat(F.lit("["), item('"severity": "HIGH"'), F.lit("]"))).when(k == 5, F.concat(F.lit("["), item('"note": "n"'), F.lit("]"))).otherwise(F.lit("[]"))
+    body = F.concat(F.lit('{"match_score": 50, "verdict": "moderate", "rationale": "r", "matching_strengths": '), strengths, F.lit(', "gaps": '), gaps, F.lit("}"))
+    got = judge.parse_replies(e.select("event_id", body.alias("text"), F.lit("end_turn").alias("stop_reason")))
+    first = F.get(F.col("strengths"), F.lit(0))["requirement"]
+    return got.select("event_id", F.size("strengths").alias("n_strengths"), F.size("notes").alias("n_notes"), first.alias("first"), F.get(F.col("gaps"), F.lit(0))["severity"].alias("severity"))
+
+
+@_query(
+    f"""WITH i AS (SELECT length(text) AS n, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark)
+    SELECT doc_id, CAST((coalesce(length(text), 0) + {len(judge.INSTRUCTIONS)} + i.n) // 4 AS BIGINT) AS tokens FROM documents JOIN i ON i.k = doc_id % (SELECT count(*) FROM benchmark)"""
+)
 def x5_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request sizes for every document as a job, nothing sent."""
-    one = _t(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("text").alias("profile"))
-    rows = _t(spark, sf_dir, "documents").crossJoin(F.broadcast(one)).select("doc_id", judge.build_request(F.col("profile"), F.col("text"), F.lit("small")).alias("r"))
+    """Request sizes for every document as a job, each with one of the profiles in turn; nothing is sent."""
+    items = _t(spark, sf_dir, "benchmark")
+    numbered = items.select(F.col("text").alias("profile"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"))  # profiles are few
+    rows = _t(spark, sf_dir, "documents").withColumn("k", F.pmod("doc_id", F.lit(items.count()))).join(numbered, "k").select("doc_id", judge.build_request(F.col("profile"), F.col("text"), F.lit("small")).alias("r"))
     return rows.select("doc_id", cost.estimate_tokens(F.col("r.system")[0]["text"], F.col("r.system")[1]["text"], F.col("r.messages")[0]["content"]).alias("tokens"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.functions.text import ADVERT_WORDS, COMMON_WORDS, NEAR_SUFFIXES, NEAR_WORDS, SECTIONS, WORD
+from tessella.functions.text import NEAR_SUFFIXES, NEAR_WORDS, SECTIONS, STOP_WORDS, WORD
 
 
 def _list(words: list[str]) -> str:
@@ -21,7 +21,7 @@ def stem(x: str) -> str:
 
 
 def words(text: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all(lower({text}), '{WORD}'), lambda w: trim(w, '.')), lambda w: length(w) >= 2 AND NOT list_contains({_list(COMMON_WORDS + ADVERT_WORDS)}, w))"
+    return f"list_filter(list_transform(regexp_extract_all(lower({text}), '{WORD}'), lambda w: trim(w, '.')), lambda w: length(w) >= 2 AND NOT list_contains({_list(STOP_WORDS)}, w))"
 
 
 def stems(text: str) -> str:

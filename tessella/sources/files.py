@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.latex import strip_latex
@@ -34,13 +35,41 @@ def _files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataF
 
 def read_postings(spark: SparkSession, folder: str) -> DataFrame:
     """S1, S2, P1, P2, P3, A21, T-10: one row per posting that is not blank; line ends as LF before hashing."""
-    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""), "\r\n?", "\n")
-    rows = _files(spark, folder, POSTING_SUFFIXES).select(F.col("stem").alias("slug"), "path", "file_name", text.alias("text")).where(F.length(strip("text")) > 0)
+    rows = _files(spark, folder, POSTING_SUFFIXES).select(F.col("stem").alias("slug"), "path", "file_name", _decoded().alias("text")).where(F.length(strip("text")) > 0)
     if rows.isEmpty():
         raise SourceError(f"no posting in {folder}")
     return postings_of(rows)
 
 
+def read_jobs(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(job_id, text) of the files that are named, or of standard input for ``-``. A blank one is an error."""
+    import sys
+
+    parts = []
+    if "-" in names:
+        parts.append(spark.createDataFrame([("stdin", sys.stdin.read())], "job_id string, text string"))
+    if files := [n for n in names if n != "-"]:
+        try:
+            raw = spark.read.format("binaryFile").load(files)
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                raise SourceError(f"no such file: {', '.join(files)}") from e
+            raise
+        parts.append(raw.select(F.element_at(F.split("path", "/"), -1).alias("job_id"), _decoded().alias("text")))
+    rows = reduce(DataFrame.unionByName, parts)
+    if blank := [r["job_id"] for r in rows.where(F.length(strip("text")) == 0).select("job_id").collect()]:
+        raise SourceError(f"empty: {', '.join(blank)}")
+    return rows
+
+
+def _decoded() -> Column:
+    """The content as text: by its byte order mark (UTF-16 either way, UTF-8), else UTF-8 if it is that, else Windows-1252."""
+    mark = F.hex(F.substring("content", 1, 2))
+    wide = mark.isin("FFFE", "FEFF")
+    text = F.when(wide, F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "windows-1252"))
+    return F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n?", "\n")
+
+
 def postings_of(rows: DataFrame, slug: str = "slug", text: str = "text") -> DataFrame:
     """Posting fields for any table with a slug and a text."""
     fields = rows.withColumn("_lines", lines(text)).withColumn("_f", header_fields("_lines", slug)).drop("_lines")
@@ -84,6 +113,16 @@ def extract_documents(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def latex_texts(sources: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) with LaTeX sources as plain text; a null source stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([None if t is None else strip_latex(t) for t in batch.column(text).to_pylist()], pa.string())], [key, text])
+
+    return sources.select(key, text).mapInArrow(run, f"{key} {dict(sources.dtypes)[key]}, {text} string")
+
+
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """Chunks (chunk_id, section, text) of a rendered profile; generated comment lines are dropped."""
     return profile_chunks(spark.read.text(path, wholetext=True).select(F.col("value").alias("text")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_before.get() if set_before.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -25,3 +28,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes a core below which a table's rows are dealt out anew, as its files give fewer tasks than there are cores.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt out to all cores if the table is small (a single row group is a single task); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SMALL * cores else df

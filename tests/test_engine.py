@@ -37,7 +37,6 @@ def test_lines_and_headers(spark):
     assert one(spark, T.lines("x"), "a\r\nb\x0bc\u2028d\n", "\n\nx", "", None) == ["a\nb\nc\nd".split("\n"), ["", "", "x"], [], None]
     heads = {"Technical Projects": "PROJECTS", "Academic Projects": "EDUCATION", "WORK EXPERIENCE:": "EXPERIENCE", "we have experience": None, "Experience.": None, "A very long line of Experience words": None, "": None, "2020": None}
     assert dict(zip(heads, one(spark, T.section_header("x"), *heads))) == heads
-    assert [profile.looks_like_header(h) for h in heads] == [v is not None for v in heads.values()]
     assert one(spark, T.normalize_line("x"), "\u00a0• - a\u00a0  b ", "–– x") == ["a b", "x"]
 
 
@@ -200,7 +199,8 @@ def test_repairs(spark):
 
 def test_reflow_and_profile(spark):
     text = "Work Experience\n• Built data docu-\nmentation tools, and\nshipped them.\nNext entry\n\nEducation\nBSc in Maths\nann@x.org\nPage 2 of 3\n"
-    assert profile.reflow(text) == ["Work Experience", "Built data documentation tools, and shipped them.", "Next entry", "Education", "BSc in Maths ann@x.org" if profile.continues("BSc in Maths", "ann@x.org", "ann@x.org") else "BSc in Maths", "Page 2 of 3"]
+    want = ["Work Experience", "Built data documentation tools, and shipped them.", "Next entry", "Education", "BSc in Maths ann@x.org", "Page 2 of 3"]
+    assert one(spark, profile.reflow(F.col("x")), text, None, "", " \n\n", "a\u00a0b\n* x\n– y of\nZ\nEnd.\nlow", "ends in of\nthe\nSkills:\nlow") == [want, [], [], [], ["a b", "x", "y of Z", "End.", "low"], ["ends in of the", "Skills:", "low"]]
     docs = spark.createDataFrame([("b.txt", text), ("a.txt", text), ("c.txt", None)], "file_name string, text string")
     lines = Engine(spark).build_profile(docs)
     assert {r["file_name"] for r in lines.collect()} == {"a.txt"} and {r["section"] for r in lines.collect()} == {"EXPERIENCE", "EDUCATION"}
@@ -213,6 +213,8 @@ def test_reflow_and_profile(spark):
 def test_latex():
     src = "\\documentclass{x}% no\n\\begin{document}\n\\section{Skills}\\textbf{Py\\&thon} % c\n\\href{http://a.b}{link}~x\\\\ \\begin{tabular}{ll}a & b\\end{tabular}\n\\resumeSubheading{A}{B}{C}{D} 50\\% \\unknown{kept {deep}} \\vspace{2pt} x {open\n\\end{document} tail"
     out = strip_latex(src)
+    forms = {r"\cvitem{Languages}{Python}": "Languages — Python", r"\setcounter{page}{1}x": "x", r"\rule{2cm}{1pt}": "", r"\faIcon{github}y": "y", r"a\textbullet b\hline c": "a• b\nc", r"\item[x] a [b] \item c\\[2pt] d": "• a [b]\n• c\nd"}
+    assert [strip_latex(x) for x in forms] == list(forms.values())
     assert all(x in out for x in ("Skills", "Py&thon", "link x", "a | b", "A — B — C — D", "50%", "kept deep", "open")) and "tail" not in out and "2pt" not in out and "ll" not in out.split()
 
 
@@ -254,13 +256,14 @@ def test_costs(spark):
         ("[1, 2]", "malformed", None, None, None), ("", "malformed", None, None, None), ('{"match_score": NaN, "matching_strengths": [], "gaps": []}', "ok", 0, "weak", 1),
     ],
 )
-def test_replies(reply, outcome, score, verdict, notes):
-    got = judge.outcome_of("end_turn", reply)
+def test_replies(spark, reply, outcome, score, verdict, notes):
+    got = judge.parse_replies(spark.createDataFrame([(reply, "end_turn", 5)], "text string, stop_reason string, notes int")).first()
     assert (got["outcome"], got["score"], got["verdict"]) == (outcome, score, verdict) and (notes is None or len(got["notes"]) == notes), got["notes"]
 
 
 def test_refusals_retries_and_live_calls(spark):
-    assert judge.outcome_of("refusal", "{}")["outcome"] == "refusal" and judge.outcome_of("max_tokens", "{}")["outcome"] == "truncated"
+    stopped = spark.createDataFrame([("{}", "refusal"), ("{}", "max_tokens"), (None, None)], "text string, stop_reason string")
+    assert [r["outcome"] for r in judge.parse_replies(stopped).collect()] == ["refusal", "truncated", "malformed"]
     assert [judge.retry_action(s, 0)[0] for s in (401, 403, 404, 400, 422, 429, 500, 529, None)] == ["fail"] * 5 + ["retry"] * 4
     assert judge.retry_action(429, 0, retry_after=7) == ("retry", 7.0) and judge.retry_action(429, 1, retry_after=0) == ("retry", 2.0) and judge.retry_action(500, 4)[0] == "fail"
     frame = spark.createDataFrame([("good",), ("bad",)], "request string")
@@ -300,3 +303,66 @@ def test_registered_queries_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_other_registered_queries_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_residual_damage_and_review(spark, tmp_path, capsys):
+    from tessella.plans import cli, report
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    good = "Experience\n" + "\n".join(f"Built a data pipeline number {k} for the finance team" for k in range(6))
+    (folder / "a.txt").write_text(good + "\nProcessing two million rows daily with spark clusters\n")
+    (folder / "b.txt").write_text(good + "\nProcessed two million rows daily using spark clusters here\nQzxwvkjhgfdsazxcvbn qqqwwwzzzxxxvvvkkkjjj\n")
+    (folder / "c.pdf").write_bytes(b"%PDF broken")
+    docs = files.extract_documents(spark, str(folder))
+    built = Engine(spark).profile_with_review(docs, path=str(tmp_path / "profile"))
+    counts = built.review.counts.first()
+    assert (counts["files_read"], counts["files_failed"], counts["duplicates_removed"], counts["clusters"]) == (2, 1, 6, 1) and not built.unchanged
+    assert [r["file_name"] for r in built.review.poor.collect()] == ["b.txt"]
+    assert Engine(spark).profile_with_review(docs, path=str(tmp_path / "profile")).unchanged
+    assert cli.main(["build-profile", str(folder), str(tmp_path / "profile"), "--review", str(tmp_path / "review")]) == 0
+    assert json.loads(capsys.readouterr().out)["unchanged"] is True
+    page = spark.read.text(str(tmp_path / "review"), wholetext=True).first()[0]
+    assert "`c.pdf`" in page and "`b.txt`" in page and "2 wordings" in page
+    (tmp_path / "jobs").mkdir()
+    for name, text in (("x", "Title: Data engineer\nspark pipeline for the finance team"), ("y", "gardening")):
+        (tmp_path / "jobs" / f"{name}.txt").write_text(text)
+    job, prices = str(tmp_path / "jobs" / "x.txt"), tmp_path / "prices.csv"
+    prices.write_text("model,input_rate,output_rate\nm,1.0,5.0\n")
+    profile_path = str(next((tmp_path / "profile").glob("part*")))
+    assert cli.main(["match", profile_path, "--job", job, "--dry-run", "--model", "m", "--prices", str(prices)]) == 0
+    out = json.loads(capsys.readouterr().out)[0]
+    assert out["job_id"] == "x.txt" and out["tokens"] > 0 and abs(out["input_cost"] - out["tokens"] / 1e6) < 1e-12
+    replies = tmp_path / "replies.json"
+    replies.write_text("\n".join(json.dumps(r) for r in ({"job_id": "x.txt", "model": "other", "stop_reason": "end_turn", "text": '{"match_score": 71, "matching_strengths": ["spark"], "gaps": []}', "input_tokens": 10}, {"job_id": "x.txt", "model": "m", "stop_reason": "refusal"})))
+    assert cli.main(["match", profile_path, "--job", job, "--replies", str(replies), "--prices", str(prices), "--ledger", str(tmp_path / "ledger"), "--text"]) == 0
+    shown = capsys.readouterr()
+    assert "71/100" in shown.out and "+ spark" in shown.out and "no price for other" in shown.err and "refusal" in shown.err and spark.read.json(str(tmp_path / "ledger")).count() == 2
+    assert cli.main(["rank", profile_path, str(tmp_path / "jobs"), "--top-k", "1", "--text"]) == 0
+    assert "Data engineer" in capsys.readouterr().out
+    (tmp_path / "jobs" / "empty.txt").write_text(" ")
+    assert cli.main(["match", profile_path, "--job", str(tmp_path / "jobs" / "empty.txt")]) == 1 and cli.main(["match", profile_path]) == 1
+    assert [report.usd(x) for x in (0, 0.001, 1)] == ["$0.00", "$0.001000", "$1.0000"] and report.mask("abcdefghijklmnop") == "abcd...mnop"
+    assert report.ranking_table([]) == "  (no postings ranked)" and "\033" not in report.match_page({"score": 39.0, "verdict": "weak"}, color=False)
+
+
+def test_similarity_back_ends(spark):
+    chunks = spark.createDataFrame([(0, "Spark pipelines"), (1, "gardening tools"), (2, None)], "chunk_id int, text string")
+    jobs = spark.createDataFrame([("j", "spark pipeline pipelines"), ("k", "cooking"), ("n", None)], "job_id string, text string")
+    for backend in ("stem", "raw"):
+        whole, each = coverage.similarity(chunks, jobs, backend=backend)
+        assert [r["job_id"] for r in whole.collect()] == ["j"] and [(r["job_id"], r["chunk_id"]) for r in each.collect()] == [("j", 0)]
+    # by hand: three chunks and the job, and (raw) the profile as one more text
+    texts = [["spark", "pipelines", "spark pipelines"], ["gardening", "tools", "gardening tools"], []]
+    profile_words, job_words = ["spark", "pipelines", "gardening", "tools", "spark pipelines", "gardening tools"], ["spark", "pipeline", "pipelines", "spark pipeline", "pipeline pipelines"]
+    corpus = [*texts, profile_words, job_words]
+    weight = lambda t: math.log((1 + len(corpus)) / (1 + sum(t in c for c in corpus))) + 1
+    dot = sum(weight(t) ** 2 for t in set(texts[0]) & set(job_words))
+    norm = lambda ts: math.sqrt(sum(weight(t) ** 2 for t in ts))
+    got = coverage.similarity(chunks, jobs, backend="raw")[1].first()["chunk_score"]
+    assert abs(got - dot / (norm(texts[0]) * norm(job_words))) < 1e-9
+    with pytest.raises(ValueError):
+        coverage.similarity(chunks, jobs, backend="dense")
+    embed = lambda df: df.withColumn("embedding", F.array(F.length("chunk").cast("double"), F.lit(1.0)))
+    whole, each = coverage.similarity(chunks.where("chunk_id < 2"), jobs.where("job_id != 'n'"), backend="dense", embed=embed)
+    assert whole.count() == 2 and each.count() == 4
