@@ -2,14 +2,14 @@
 
 Grades are ordered; one weight vector over hashed words is shared by all of them, and ordered thresholds cut its score:
 P(grade >= k) = sigmoid(score - threshold_k). Expected grade and tail probabilities follow from the tails. Words are hashed
-by CRC-32 into ``2**bits`` places; a document's vector has a 1 in the place of each of its words. Places that fewer than one
-in ``RARE`` of the fitted documents have (two at least) get no weight, as they would only learn documents by heart.
+by CRC-32 into ``2**bits`` places; a document's vector has a 1 in the place of each of its words. Places that fewer than
+``RARE`` of the fitted documents have get no weight, as they would only learn documents by heart.
 
 The weights are fitted on at most ``fit_rows`` labelled documents (those with the least hashes of their ids; every
 labelled one where there are fewer); scoring reads every document whole.
 
 Defined results: a null or blank text has the zero vector and gets the prior's tails; ratings that are null or out of range
-are left out, and a repeated id counts by its lowest grade; without two grades the model is flat (every tail 1/2).
+are left out, and a repeated id counts by its lowest grade and one of its texts; without two grades the model is flat (every tail 1/2).
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ def text_vector(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.ones(len(at))
 
 
-#: One place in so many documents is too rare to be fitted.
-RARE = 800
+#: A place that fewer fitted documents have is too rare to be fitted.
+RARE = 3
 
 
 @dataclass
@@ -74,7 +74,7 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grad
     first = np.log((1 - share) / share)
     if len(set(grades.tolist())) < 2:
         return CumulativeLink(w, np.zeros(n_grades - 1))
-    often = np.bincount(np.concatenate([a for a, _ in vectors]), minlength=dim) >= max(2, -(-len(vectors) // RARE))
+    often = np.bincount(np.concatenate([a for a, _ in vectors]), minlength=dim) >= RARE
     vectors = [(a[often[a]], b[often[a]]) for a, b in vectors]
     theta = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     gw, gt = np.full(dim, 1e-6), np.full(n_grades - 1, 1e-6)
@@ -115,7 +115,9 @@ def learn_grades(docs: DataFrame, ratings: DataFrame, *, n_grades: int, bits: in
     """Fit on rated documents; ``ratings``: (doc_id, grade) with grades 0 to ``n_grades`` - 1."""
     good = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy(F.col("doc_id").alias("r_id")).agg(F.min("grade").cast("int").alias("grade"))
     chosen = materialize(good.orderBy(F.xxhash64("r_id"), "r_id").limit(fit_rows), "rated")
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("r_id")).select("doc_id", "grade", F.col("text").cast("string").alias("text"))
+    rated = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("r_id"))
+    # one row an id, however often it repeats: the text with the least hash; this combines before its shuffle
+    rows = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         places = WordPlaces(bits)
