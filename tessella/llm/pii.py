@@ -7,7 +7,8 @@ label for all of them together. So a number written in full once marks its short
 
 The field is trained piecewise: unary, chain and skip potentials are fitted to counts of token shapes, neighbours and
 similar pairs with the base rules' labels over all documents; the counts are added up in the cluster and only the table
-of distinct shapes (at most ``SHAPES``) reaches the driver. Where a digit or at sign is missing, Arrow's kernels say so
+of contexts (``SHAPES`` by themselves, the others by size) reaches the driver. So the field finds what the base rules pass
+over with a longer match that fails: of two card numbers side by side, each one with a right check digit. Where a digit or at sign is missing, Arrow's kernels say so
 for a whole batch, and Python sees none of the text.
 
 Spans that the field adds must pass their kind's own test (``plausible``) and overlap no base span.
@@ -102,8 +103,11 @@ class Nodes:
 
 def _shape(token: str) -> str:
     """Classes of characters in order, runs joined, with the number of digits in steps."""
-    n = sum(c.isdigit() for c in token)
+    d = _digits(token)
+    n = len(d)
     size = "0" if not n else "1" if n < 4 else "4" if n < 8 else "8" if n < 12 else "12" if n < 16 else "16" if n < 20 else "20"
+    if 16 <= n <= 19 and luhn(d):
+        size += "L"  # the check digit is right
     runs = re.sub(r"(.)\1+", r"\1", re.sub("[^9a@.()+-]", "x", re.sub("[A-Za-z]", "a", re.sub("[0-9]", "9", token))))
     return f"{runs if len(runs) <= 12 else 'long'}/{size}"
 
@@ -154,7 +158,8 @@ def _labels(nodes: Nodes, base: list[tuple[int, int, int]]) -> list[int]:
     return out
 
 
-#: Distinct shapes that training looks at, the most frequent first; a rarer one counts as the shape "other".
+#: Distinct contexts that training looks at by themselves, the most frequent first. All others are added up by the size of
+#: their numbers, as contexts of the shape "other".
 SHAPES = 4096
 
 
@@ -174,6 +179,7 @@ class Field:
 
     def scores(self, signs: list[str]) -> np.ndarray:
         zero = np.zeros(K)
+        signs = ["rother" if s[0] == "r" and s not in self.unary else s for s in signs]
         return sum((self.unary.get(s, zero) for s in signs), zero)
 
     def marginals(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 8) -> np.ndarray:
@@ -246,7 +252,11 @@ def learn_field(docs: DataFrame) -> Field | None:
     pairs = {"chain": np.ones((K, K)), "skip": np.ones((K, K)) + 20 * np.eye(K)}
     for r in counts.where("kind != 'unary'").collect():
         pairs[r["kind"]][r["a"], r["b"]] += r["c"]
-    rows = counts.where("kind = 'unary'").orderBy(F.desc("c"), "what", "a").limit(SHAPES).collect()
+    unary = counts.where("kind = 'unary'").select("what", "a", "c")
+    often = materialize(unary.groupBy("what").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "what").limit(SHAPES).select("what"), "frequent-contexts")
+    size = F.regexp_extract("what", "/([0-9]+L?)\t", 1)
+    rare = unary.join(often, "what", "left_anti").groupBy(F.concat(F.lit("other/"), size, F.lit("\t\t")).alias("what"), "a").agg(F.sum("c").alias("c"))
+    rows = unary.join(often, "what").unionByName(rare).orderBy("what", "a").collect()
     if not any(r["a"] for r in rows):
         return None
     signs = [_signs(*r["what"].split("\t")) for r in rows]
