@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.storage import spread
+
 #: White space that parts words everywhere in this subpackage: space and the control characters 9 to 13.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
@@ -29,8 +31,8 @@ COPY = "_tessella_copy"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, by a path that any Spark file system understands."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables, by a path that any Spark file system understands; a small one is dealt out to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
