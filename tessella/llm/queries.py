@@ -98,6 +98,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+# The parts of four operators' results that SQL can express, each derived from the same query.
+
+
+def base_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -109,9 +128,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_decontaminate": op10_decontaminate,
+    "base_words": base_words,
+    "base_unigrams": base_unigrams,
+    "base_personal": base_personal,
+    "base_secrets": base_secrets,
 }
 
+_WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+#: CRC-32 of an id as text, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT FOR i IN range(8)]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "base_words": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(x="coalesce(text, '')")} AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8), k AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS gram FROM g),
+        r AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (SELECT unnest(range(8)) AS j) GROUP BY doc_id),
+        l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b""",
+    "base_unigrams": rf"""
+        WITH d AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, list_append({_WORDS.format(x="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, '') AS w FROM documents),
+        t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d), c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word), s AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 4) AS base_score
+        FROM t LEFT JOIN c USING (word), s GROUP BY doc_id, held_out, n""",
+    "base_personal": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        x AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+            [regexp_replace(c, '[^0-9]', '', 'g') FOR c IN regexp_extract_all(t, '[0-9]([ -]?[0-9])+')] AS cards, [regexp_replace(c, '[^0-9]', '', 'g') FOR c IN regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]')] AS phones FROM d)
+        SELECT doc_id, CAST(n_email AS BIGINT) AS n_email, CAST(len(list_filter(ips, lambda i: len(list_filter(string_split(i, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0)) AS BIGINT) AS n_ip,
+            CAST(len(list_filter(cards, lambda c: length(c) BETWEEN 16 AND 19 AND list_sum([CASE WHEN k % 2 = 0 THEN CAST(c[length(c) - k] AS INT) ELSE CAST(c[length(c) - k] AS INT) * 2 - CASE WHEN CAST(c[length(c) - k] AS INT) > 4 THEN 9 ELSE 0 END END FOR k IN range(length(c))]) % 10 = 0)) AS BIGINT) AS n_card,
+            CAST(len(list_filter(phones, lambda c: length(c) BETWEEN 8 AND 15)) AS BIGINT) AS n_phone FROM x""",
+    "base_secrets": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 8)) AS BIGINT) AS n_assign,
+            CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 16)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: length(v) >= 32)) AS BIGINT) AS n_hex FROM d""",
     "op4_chat": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
             UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
