@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from test_ops import WORD, lower
 from tessella.llm import near_copies, simhash
@@ -76,6 +77,30 @@ def test_rows_that_share_an_id_are_judged_apart(spark):
         assert sorted((r["doc_id"], r["text"]) for r in drop(frame).collect()) == want
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_a_task_links_what_alike_pairs_connect(blocks):
+    """Random sets near the bound of 0.8, some in one group from the start, against all pairs."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, base = 24, rng.choice(10**6, 40, replace=False).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(40) < 0.93], rng.integers(10**6, 10**7, rng.integers(0, 5)).astype(np.uint64)])) for _ in range(n)]
+        sets[3] = sets[2][:1]
+        key, root = np.arange(n) * 7, rng.integers(0, 12, n)
+        meet = np.arange(n) if blocks == 1 else np.arange(n) % 2
+
+        def classes(links):
+            top = root.copy()
+            for a, b in links:
+                top[top == top[b]] = top[a]
+            return [[bool(x == y) for y in top] for x in top]
+
+        both = lambda x, y: len(np.intersect1d(sets[x], sets[y]))
+        true = [(x, y) for x in range(n) for y in range(x) if meet[x] != meet[y] and 5 * both(x, y) >= 4 * (len(sets[x]) + len(sets[y]) - both(x, y))]
+        got = [(a // 7, b // 7) for a, b in near_copies._forest(key, root, sets, meet, 0.8)]
+        assert classes(got) == classes(true) and len(got) < len(set(root.tolist()))
+        assert all((max(g), min(g)) in true for g in got)
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_a_mixed_bucket_links_members_that_its_centre_is_unlike(spark, monkeypatch, block):
     """Families of texts that share half their words fall into common buckets; pairs within a family must be found."""
