@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import dedupe
+from tessella.sources.storage import stored
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ def line_clusters(lines: DataFrame, *, key: str = "file_name", **how: float) ->
     A line is named by a hash of its file and number; the cluster's first line is the one with the least file and number."""
     named = lines.withColumn("line_id", F.xxhash64(key, "line_no"))
     rooted = dedupe.near_clusters(named, **how)
-    rows = named.join(rooted, "line_id")
+    rows = stored(named.join(rooted, "line_id"), "clustered-lines")
     first = rows.groupBy("cluster_id").agg(F.min_by("text", F.struct(key, "line_no")).alias("first_text"))
     return rows.join(first, "cluster_id").select(F.col("cluster_id").alias("cluster"), F.col("cluster_size").alias("size"), "first_text", key, "line_no", "section", "text")
 

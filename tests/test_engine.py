@@ -161,6 +161,28 @@ def test_deduplication(spark):
     assert {(r["line_id"], r["cluster_id"], r["cluster_size"]) for r in dedupe.near_clusters(near).collect()} == {(0, 0, 3), (1, 0, 3), (2, 0, 3)}
 
 
+def test_near_pairs_of_copies_and_rare_tokens(spark, monkeypatch):
+    """Against the definition, with many copies, tokens beyond the head and buckets at the bound; copies never meet as candidates."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(12)] for _ in range(40)]
+    lines = [" ".join([w if rng.random() > 0.08 else f"new{rng.randint(0, 99)}" for w in rng.choice(base)]) for _ in range(160)] + ["Testing the same boxes again, running"] * 9 + ["a b", "", "İstanbul wALKED Kelvin K"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "line_id long, text string")
+    sets = {r["line_id"]: frozenset(r["t"]) for r in frame.select("line_id", T.near_tokens("text").alias("t")).collect()}
+    assert {r["id"]: r["key"] for r in dedupe.set_keys(frame.select(F.col("line_id").alias("id"), F.lower("text").alias("low"))).collect()} == {i: " ".join(sorted(t)) for i, t in sets.items()}
+    df = Counter(w for t in sets.values() for w in t)
+    buckets = {}
+    for i, t in sets.items():
+        for w in sorted(t, key=lambda w: (df[w], w))[:4] if len(t) > 2 else []:
+            buckets.setdefault(w, []).append(i)
+    made = []
+    monkeypatch.setattr(dedupe, "stored", lambda df, name, real=dedupe.stored: made.append((name, real(df, name))) or made[-1][1])
+    for most in (200, 6):
+        want = {(a, b) for m in buckets.values() if len(m) <= most for a in m for b in m if a < b and 0.72 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 1}
+        for head in (0, 30, 200_000):
+            assert {(r["a"], r["b"]) for r in dedupe.near_pairs(frame, max_bucket=most, head=head).collect()} == want and want
+    assert max(df.count() for name, df in made if name == "tried-pairs") <= 3 * len(want) + len(buckets)
+
+
 def test_components_of_random_links(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
