@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 MOST_QUERIES = 100_000
+#: More than the rounding of a matrix product of unit vectors.
+SLACK = 1e-9
 
 
 def similarity(distance: Column) -> Column:
@@ -30,6 +32,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, n, out=np.zeros_like(vectors), where=n > 0)
 
 
+def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Cosine similarities within 0 and 1, each summed from the first component to the last: the same two vectors give the same
+    bits wherever they stand. Zero vectors have 0."""
+    total = lambda products: np.cumsum(products, axis=-1)[..., -1]
+    n = np.sqrt(total(query * query) * total(vectors * vectors))
+    return np.clip(np.divide(total(vectors * query), n, out=np.zeros(len(vectors)), where=n > 0), 0.0, 1.0)
+
+
 def top_hits(queries: DataFrame, store: DataFrame, *, k: int = 25, query_id: str = "query_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
     """(query_id, the store's columns but its vector, similarity, hit): the k nearest stored rows of each query; ties by
     the ``ordinal`` column. The queries are collected, at most ``MOST_QUERIES``."""
@@ -42,7 +52,8 @@ def top_hits(queries: DataFrame, store: DataFrame, *, k: int = 25, query_id: str
     schema = ", ".join([f"{query_id} {kind}", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "similarity double"])
 
     def of(part: list) -> DataFrame:
-        matrix = unit(np.array([r[vector] for r in part], float)) if part else np.zeros((0, 1))
+        raw = np.array([r[vector] for r in part], float)
+        matrix = unit(raw)
         ids = [r[query_id] for r in part]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,17 +66,20 @@ def top_hits(queries: DataFrame, store: DataFrame, *, k: int = 25, query_id: str
                 sims = np.clip(matrix @ unit(values).T, 0.0, 1.0)
                 order = batch.column("ordinal").to_numpy(zero_copy_only=False)
                 few = min(k, batch.num_rows)
-                # all rows at the k-th similarity stay for now, so ties are settled by ordinal
-                limit = -np.partition(-sims, few - 1, axis=1)[:, few - 1]
-                q_at, s_at = [], []
+                # a product's last digits depend on the place in the batch: all rows near the k-th are measured anew, so equal
+                # vectors have equal similarities and ties are settled by ordinal
+                limit = -np.partition(-sims, few - 1, axis=1)[:, few - 1] - SLACK
+                q_at, s_at, found = [], [], []
                 for q in range(len(ids)):
                     near = np.flatnonzero(sims[q] >= limit[q])
-                    near = near[np.lexsort((order[near], -sims[q, near]))][:few]
-                    q_at += [q] * len(near)
-                    s_at += near.tolist()
+                    exact = cosines(raw[q], values[near])
+                    best = np.lexsort((order[near], -exact))[:few]
+                    q_at += [q] * len(best)
+                    s_at += near[best].tolist()
+                    found += exact[best].tolist()
                 take = pa.array(s_at, pa.int64())
                 names = [n for n in batch.schema.names if n != vector]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in q_at], id_type), *(batch.column(n).take(take) for n in names), pa.array(sims[q_at, s_at])], [query_id, *names, "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in q_at], id_type), *(batch.column(n).take(take) for n in names), pa.array(found, pa.float64())], [query_id, *names, "similarity"])
 
         return store.select(*kept.columns, vector).mapInArrow(run, schema)
 
