@@ -1,9 +1,10 @@
 """SimHash near-dedup's wide mode: near copies by the similarity of word shingles (the pipeline's de-duplication stage).
 
-Similarity of 0.8 on five-word shingles puts fingerprints of 64 bits up to 14 bits apart, where segment popcounts no longer
-tell pairs from chance, so candidates come from MinHash here (see the README).
+Candidates come from SimHash and, as similarity of 0.8 on five-word shingles puts fingerprints of 64 bits up to 14 bits apart,
+where segment popcounts no longer tell pairs from chance, from MinHash besides (see the README). Both are checked exactly.
 
 1. Copies with the same words collapse first: a text's key is XXH64 of its lower-cased words.
+   SimHash: texts with one fingerprint, and fingerprints that ``simhash.links`` joins by segment popcounts, are candidates.
 2. MinHash: ``bands`` keys of ``rows`` minima each over the hashes of a text's distinct shingles. A pair of similarity s
    shares a band with the chance 1 - (1 - s^rows)^bands, at 0.8 with the defaults 0.999997, above it more.
 3. The texts of a band's bucket are compared with one of them, its centre, exactly, by their shingle sets: a star. A star of many
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import COPY, byte_chunks, discard, in_filter, map_arrow, materialize, row_copy, row_filter, same_row
-from tessella.llm.simhash import _TO_LOWER, SEED, components
+from tessella.llm.simhash import _TO_LOWER, SEED, components, fingerprint, links as fingerprint_links
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -84,20 +85,32 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def banded(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, copy, key long, bands array<long>) of every row."""
+    """(doc_id, copy, key long, fp long, bands array<long>) of every row; fp is the SimHash fingerprint of its shingles."""
     of = MinHash(size, bands, rows)
 
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         out = []
         for part in byte_chunks(batch):
-            found = [of.of(t.as_py()) for t in part.column("text").cast(pa.large_binary())]
+            texts = [t.as_py() for t in part.column("text").cast(pa.large_binary())]
+            found = [of.of(t) for t in texts]
+            fp = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
             key = np.array([k for k, _ in found], np.uint64).view(np.int64)
             each = np.array([b for _, b in found], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * bands, pa.array(each.ravel()))
-            out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(COPY), pa.array(key), lists], ["doc_id", "copy", "key", "bands"]))
+            out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(COPY), pa.array(key), pa.array(fp), lists], ["doc_id", "copy", "key", "fp", "bands"]))
         return out
 
-    return map_arrow(_rows(docs), run, "doc_id long, copy long, key long, bands array<long>")
+    return map_arrow(_rows(docs), run, "doc_id long, copy long, key long, fp long, bands array<long>")
+
+
+def _fingerprint_pairs(one: DataFrame) -> DataFrame:
+    """(a, b) of keys: each text with the first one of its fingerprint, and the first ones of linked fingerprints."""
+    lead = materialize(one.groupBy("fp").agg(F.min("key").alias("lead")), "distinct-fingerprints")
+    same = one.join(lead, "fp").where("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    x, y = (lead.select(F.col("fp").alias(f"fp_{c}"), F.col("lead").alias(c)) for c in "xy")
+    met = fingerprint_links(lead.select("fp"))
+    linked = met.join(x, met.a == F.col("fp_x")).join(y, met.b == F.col("fp_y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionByName(linked)
 
 
 def _alike_pairs(pairs: DataFrame, one: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -234,7 +247,7 @@ def _classes(docs: DataFrame, size: int, similarity: float, bands: int, rows: in
     """(rows: doc_id, copy, key ...; texts: key, first, root): ``first`` is the text's row with the least id."""
     marked = materialize(banded(docs, size, bands, rows), "banded")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first")
-    one = materialize(marked.groupBy("key").agg(first, F.first("bands").alias("bands")), "distinct-texts")
+    one = materialize(marked.groupBy("key").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct-texts")
     keyed = one.select("key", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("bucket")
     found = materialize(keyed.hint("merge").join(shared, "bucket"), "shared-buckets")
@@ -242,7 +255,8 @@ def _classes(docs: DataFrame, size: int, similarity: float, bands: int, rows: in
     degree = found.join(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").groupBy("key").agg(F.sum("n").alias("degree"))
     centre = found.join(degree, "key").groupBy("bucket").agg(F.max_by("key", F.struct("degree", "key")).alias("centre"))
     members = materialize(found.join(centre, "bucket"), "bucket-members")
-    pairs = materialize(members.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "star-pairs")
+    stars = members.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    pairs = materialize(stars.unionByName(_fingerprint_pairs(one)).distinct(), "star-pairs")
     links = materialize(_alike_pairs(pairs, one, docs, size, similarity), "star-links")
     rooted = components(links)
     placed = materialize(members.join(rooted, members.key == rooted.node, "left").select("bucket", "key", "centre", F.coalesce("root", "key").alias("root")), "placed-members")

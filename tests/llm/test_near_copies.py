@@ -123,3 +123,14 @@ def test_pipeline_stage_drops_edited_copies(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, SF)
     assert ids_of(got) == brute_kept(rows)
+
+
+def test_fingerprints_give_candidates_too(spark):
+    """With bands that no two unlike texts share, texts within two bits are still compared, and only like ones are joined."""
+    words = [f"w{k * k % 977}" for k in range(600)]
+    first = " ".join(words)
+    edits = (" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(0, 600, 7))
+    fp = lambda t: simhash.fingerprint(t.encode(), 5)
+    second = next(t for t in edits if (fp(t) ^ fp(first)).bit_count() <= 2)
+    docs = spark.createDataFrame([(1, first), (2, second), (3, " ".join(f"x{k}" for k in range(300)))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs, bands=1, rows=400).collect()) == [1, 3]
