@@ -8,9 +8,9 @@ so every text has a proper probability. The network is written in numpy: truncat
 steps, and the hidden state carried from window to window, in training and in scoring of whole documents.
 
 Training has two parts. First the driver fits the network on about ``fit_tokens`` tokens, drawn by a hash of document and
-block from the whole training set: a start. Then the cluster trains it on ``fit_share`` of all training documents, drawn by
-a hash of their ids, so that what it learns from grows with the corpus: in each of ``rounds`` rounds every task trains a
-copy on its documents, and the copies' weights are averaged by the tokens that they have read. Bounds: the ``head`` most frequent words are broadcast with their counts; the others are
+block from the whole training set: only a start, which spares the averaged rounds a cold one. Then the cluster trains it on
+every training document, each once: the documents are dealt to ``rounds`` rounds by a hash of their ids, in each round every
+task trains a copy on its documents, and the copies' weights are averaged by the tokens that they have read. Bounds: the ``head`` most frequent words are broadcast with their counts; the others are
 joined, and as each has less than 1 / ``head`` of all tokens, none is a hot key.
 
 Defined results: a null text is empty and has one token, the end; a null id counts as held out; repeated rows and ids
@@ -269,6 +269,14 @@ def _sample(docs: DataFrame, ids_of: dict[bytes, int], other: int, share: float,
     return [np.frombuffer(r["ids"], np.int32) for r in map_arrow(train, draw, "ids binary").orderBy(F.xxhash64("ids"), "ids").collect()]
 
 
+def lanes_of(streams: list[np.ndarray], most: int = 384, least: int = 24) -> tuple[int, np.ndarray]:
+    """(lanes, tokens): so many lanes that each has about ``least`` tokens or more, and all tokens, filled up from the first so
+    that the lanes are of one length and none is left out."""
+    flat = np.concatenate(streams)
+    lanes = max(1, min(most, len(flat) // least))
+    return lanes, np.resize(flat, -(-len(flat) // lanes) * lanes)
+
+
 def _train_round(docs: DataFrame, model: GruLm, vocab: dict[bytes, int], other: int, end: int, part: tuple[float, float], *, rate: float, chunk: int = 1 << 20, piece: int = 4096) -> None:
     """One round over the training documents whose hash lies in ``part`` (of 0 to 1): the averaged weights replace the model's.
 
@@ -285,8 +293,9 @@ def _train_round(docs: DataFrame, model: GruLm, vocab: dict[bytes, int], other:
         def learn() -> None:
             nonlocal own
             own = own or copy.deepcopy(start)
+            lanes, flat = lanes_of(held)
             with one_blas_thread():
-                own.fit(held, end, batch=96, epochs=1, rate=rate, fall=0.5)
+                own.fit([flat], end, batch=lanes, epochs=1, rate=rate, fall=0.5)
             held.clear()
 
         for batch in batches:
@@ -333,7 +342,7 @@ def _train_round(docs: DataFrame, model: GruLm, vocab: dict[bytes, int], other:
     sent.unpersist()
 
 
-def score_documents(docs: DataFrame, *, vocabulary: int = 4096, head: int = 200_000, fit_tokens: int = 600_000, fit_share: float = 0.125, rounds: int = 2, hidden: int = 24, n_classes: int = 64) -> DataFrame:
+def score_documents(docs: DataFrame, *, vocabulary: int = 4096, head: int = 200_000, fit_tokens: int = 600_000, rounds: int = 2, hidden: int = 24, n_classes: int = 64) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of whole texts."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -353,7 +362,7 @@ def score_documents(docs: DataFrame, *, vocabulary: int = 4096, head: int = 200_
         with one_blas_thread():
             model.fit(_sample(docs, vocab, other, min(1.0, fit_tokens / n)), end)
         for k in range(rounds):
-            _train_round(docs, model, vocab, other, end, (k * fit_share / rounds, (k + 1) * fit_share / rounds), rate=0.003 / (k + 1))
+            _train_round(docs, model, vocab, other, end, (k / rounds, (k + 1) / rounds), rate=0.003 / (k + 1))
     model.__dict__.pop("table", None)
     # a place in the head for each frequent word: its id in the network (or the symbol) and the log of its count
     words_ = [END, *(w for w, _ in top)]

@@ -389,3 +389,15 @@ def test_op10_against_all_pairs(spark, nothing):
 def test_native_plans_have_no_python(spark, docs):
     for frame in (quality_rules.text_stats(docs), decontaminate._hashed(docs, "text", 5, "doc_id")):
         assert not re.search("Python|Arrow|Pandas", frame._jdf.queryExecution().executedPlan().toString())
+
+
+def test_language_model_trains_on_every_document(spark, monkeypatch):
+    """The rounds' shares follow on each other from nothing to all, and no token of a task is left over."""
+    parts = []
+    monkeypatch.setattr(gru_lm, "_train_round", lambda docs, model, vocab, other, end, part, **how: parts.append(part))
+    docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(30)], "doc_id long, text string")
+    assert gru_lm.score_documents(docs, vocabulary=20, head=30, hidden=8, n_classes=4).count() == 30
+    assert parts[0][0] == 0 and parts[-1][1] == 1 and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+    for n in (1, 30, 383, 385, 10_001):
+        lanes, flat = gru_lm.lanes_of([np.arange(n)])
+        assert len(flat) % lanes == 0 and set(flat.tolist()) == set(range(n)) and len(flat) < n + lanes
