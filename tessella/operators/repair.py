@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.storage import perhaps_in, stored
+
 # Fixed values
 SHORT_WORDS = "a i an as at be by do go he if in is it me my no of on or so to up us we and the for you our its not all any can has had was were with".split()
 RUN_ON, LONGEST, PIECE = 16, 20, 12
@@ -29,9 +33,15 @@ def _tokens(texts: DataFrame, text: str, *keep: str) -> DataFrame:
     return texts.select(*keep, F.explode_outer(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).where(F.col("token").isNotNull())
 
 
-def vocabulary(texts: DataFrame, dictionary: DataFrame | None = None, *, text: str = "text") -> DataFrame:
-    """(word, n, known, logp): A11, A12, P10, P11, U6. ``dictionary``: (word); its words get a floor below any count's weight."""
-    counts = _tokens(texts, text).where(F.length("token").between(2, 24)).groupBy(F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+def token_counts(texts: DataFrame, *, text: str = "text") -> DataFrame:
+    """(token, times): the distinct tokens as they are written. Stored, it spares ``vocabulary`` and ``token_repairs`` a pass each."""
+    return _tokens(texts, text).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+
+
+def vocabulary(texts: DataFrame, dictionary: DataFrame | None = None, *, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """(word, n, known, logp): A11, A12, P10, P11, U6. ``dictionary``: (word); its words get a floor below any count's weight.
+    ``counts``: the texts' ``token_counts``, if at hand."""
+    counts = (token_counts(texts, text=text) if counts is None else counts).where(F.length("token").between(2, 24)).groupBy(F.lower("token").alias("word")).agg(F.sum("times").alias("n"))
     total = counts.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1)).alias("total"))  # one row
     spark = texts.sparkSession
     own = spark.createDataFrame([("a",), ("i",)], "word string").withColumn("known", F.lit(False))
@@ -87,9 +97,16 @@ def split_run_on(token: str, logp: dict[str, float], n: dict[str, int], known: s
     return " ".join((len(p) >= PIECE and (p.islower() or p.istitle()) and p.lower() not in known and plain(p)) or p for p in pieces)
 
 
-def token_repairs(texts: DataFrame, vocab: DataFrame, *, text: str = "text") -> DataFrame:
-    """(token, repaired, kind): what to write for a damaged token; kind is ligature or run_on."""
-    distinct = _tokens(texts, text).select("token").distinct().withColumn("low", F.lower("token"))
+def _suspect(token: Column) -> Column:
+    """Whether a token may have a repair at all: it is long, or has letters that a ligature is read as."""
+    low = F.lower(token)
+    return (F.length(token) >= RUN_ON) | reduce(or_, [low.contains(a) for a, _ in LIGATURES])
+
+
+def token_repairs(texts: DataFrame, vocab: DataFrame, *, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """(token, repaired, kind): what to write for a damaged token; kind is ligature or run_on. ``counts`` as in ``vocabulary``."""
+    counts = token_counts(texts, text=text) if counts is None else counts
+    distinct = counts.where(_suspect(F.col("token"))).select("token").withColumn("low", F.lower("token"))
     v = vocab.select("word", "n", "known")
     own = distinct.join(v.select(F.col("word").alias("low"), "n", "known"), "low", "left").select("token", "low", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("known", F.lit(False)).alias("known"))
     open_ = own.where(~F.col("known"))
@@ -115,9 +132,12 @@ def token_repairs(texts: DataFrame, vocab: DataFrame, *, text: str = "text") ->
 
 def repair_texts(texts: DataFrame, repairs: DataFrame, *, key: str = "file_name", text: str = "text") -> DataFrame:
     """(key, text, repaired_tokens): each text with its own damaged tokens replaced. Only repairs that a text needs reach it."""
-    used = _tokens(texts, text, key).groupBy(key, "token").agg(F.count(F.lit(1)).alias("times")).join(repairs.select("token", "repaired"), "token")
-    per = used.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "repaired"))).alias("fix"), F.sum("times").alias("repaired_tokens"))
-    joined = texts.join(per, key, "left")
+    found = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), _suspect)
+    used = texts.select(key, F.explode(found).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("times")).join(repairs.select("token", "repaired"), "token")
+    per = stored(used.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "repaired"))).alias("fix"), F.sum("times").alias("repaired_tokens")), "text-repairs")
+    # texts that need no repair are not shuffled
+    joined = perhaps_in(texts, per, key).join(per, key, "left")
+    whole = perhaps_in(texts, per, key, inside=False).select(key, text, F.lit(0).cast("long").alias("repaired_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile("[A-Za-z]+")
@@ -129,7 +149,7 @@ def repair_texts(texts: DataFrame, repairs: DataFrame, *, key: str = "file_name"
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.string()), batch.column("repaired_tokens")], [key, text, "repaired_tokens"])
 
     kind = dict(texts.dtypes)[key]
-    return joined.select(key, text, "fix", F.coalesce("repaired_tokens", F.lit(0)).cast("long").alias("repaired_tokens")).mapInArrow(run, f"{key} {kind}, {text} string, repaired_tokens long")
+    return whole.unionByName(joined.select(key, text, "fix", F.coalesce("repaired_tokens", F.lit(0)).cast("long").alias("repaired_tokens")).mapInArrow(run, f"{key} {kind}, {text} string, repaired_tokens long"))
 
 
 def known_parts(tokens: DataFrame, vocab: DataFrame) -> DataFrame:

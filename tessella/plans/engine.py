@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import coverage, dedupe, dense, index, profile, repair, review, tfidf
-from tessella.sources.storage import stored
+from tessella.sources.storage import discard, stored
 
 BACKENDS = ("tfidf", "dense")
 
@@ -76,13 +76,18 @@ class Engine:
 
     def build_profile(self, documents: DataFrame, *, dictionary: DataFrame | None = None, keep_contact: bool = False, key: str = "file_name") -> DataFrame:
         """Repaired, reflowed, sectioned, redacted and de-duplicated lines of documents (key, text)."""
-        return self._built(documents, dictionary, keep_contact, key)[0]
+        lines, _, repaired, vocab = self._built(documents, dictionary, keep_contact, key)
+        discard(repaired, vocab)
+        return lines
 
     def _built(self, documents: DataFrame, dictionary: DataFrame | None, keep_contact: bool, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """The profile's lines, those before de-duplication, the repaired texts and the vocabulary."""
         good = documents.where(F.col("text").isNotNull())
-        vocab = stored(repair.vocabulary(good, dictionary), "vocabulary")  # T21: built once, from the raw texts
-        repaired = stored(repair.repair_texts(good, stored(repair.token_repairs(good, vocab), "repairs"), key=key), "repaired")
+        counts = stored(repair.token_counts(good), "token-counts")
+        vocab = stored(repair.vocabulary(good, dictionary, counts=counts), "vocabulary")  # T21: built once, from the raw texts
+        repairs = stored(repair.token_repairs(good, vocab, counts=counts), "repairs")
+        repaired = stored(repair.repair_texts(good, repairs, key=key), "repaired")
+        discard(counts, repairs)
         raw = stored(profile.profile_lines(repaired, key=key, keep_contact=keep_contact), "profile-lines")
         return dedupe.dedupe_exact(raw, order=(key, "line_no")), raw, repaired, vocab
 
