@@ -90,42 +90,49 @@ class GruLm:
         cls = self.class_of[targets]
         n = len(targets)
         rows = np.arange(n)
-        logits = hidden @ p["C"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[rows, cls].copy()
+        # classes and words down, tokens across: sums over few classes or words then run along whole rows of tokens
+        logits = p["C"].T @ hidden.T + p["bc"][:, None]
+        logits -= logits.max(axis=0)
+        picked = logits[cls, rows].copy()
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
+        total = logits.sum(axis=0)
         lp = picked - np.log(total)
         back = None
-        if grads is not None:
-            d = logits / total[:, None]
-            d[rows, cls] -= 1
-            grads["C"] = hidden.T @ d
-            grads["bc"] = d.sum(axis=0)
-            back = d @ p["C"].T
-            grads["O"], grads["bo"] = np.zeros_like(p["O"]), np.zeros_like(p["bo"])
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(len(self.classes) + 1))
         ends = np.append(self.classes[1:], self.v)
+        sorted_hidden, places = hidden[order], targets[order] - self.classes[cls[order]]
+        within = np.zeros(n, lp.dtype)
+        if grads is not None:
+            logits /= total
+            logits[cls, rows] -= 1
+            grads["C"] = (logits @ hidden).T
+            grads["bc"] = logits.sum(axis=1)
+            back = logits.T @ p["C"].T
+            grads["O"], grads["bo"] = np.zeros_like(p["O"]), np.zeros_like(p["bo"])
+            inner = np.zeros_like(back)
         for k in range(len(self.classes)):
-            at = order[cuts[k] : cuts[k + 1]]
             lo, hi = self.classes[k], ends[k]
-            if not len(at) or hi - lo == 1:
+            at = slice(cuts[k], cuts[k + 1])
+            if cuts[k] == cuts[k + 1] or hi - lo == 1:
                 continue
-            hk = hidden[at]
-            x = hk @ p["O"][lo:hi].T + p["bo"][lo:hi]
-            x -= x.max(axis=1, keepdims=True)
-            own = (np.arange(len(at)), targets[at] - lo)
+            hk = sorted_hidden[at]
+            x = p["O"][lo:hi] @ hk.T + p["bo"][lo:hi, None]
+            x -= x.max(axis=0)
+            own = (places[at], rows[: len(hk)])
             picked = x[own].copy()
             np.exp(x, out=x)
-            total = x.sum(axis=1)
-            lp[at] += picked - np.log(total)
+            total = x.sum(axis=0)
+            within[at] = picked - np.log(total)
             if grads is not None:
-                x /= total[:, None]
+                x /= total
                 x[own] -= 1
-                grads["O"][lo:hi] = x.T @ hk
-                grads["bo"][lo:hi] = x.sum(axis=0)
-                back[at] += x @ p["O"][lo:hi]
+                grads["O"][lo:hi] = x @ hk
+                grads["bo"][lo:hi] = x.sum(axis=1)
+                inner[at] = x.T @ p["O"][lo:hi]
+        lp[order] += within
+        if grads is not None:
+            back[order] += inner
         return lp, back
 
     def fit(self, streams: list[np.ndarray], end: int, *, window: int = 24, batch: int = 48, epochs: int = 2, rate: float = 0.012, fall: float = 0.9) -> None:
@@ -159,8 +166,8 @@ class GruLm:
         grads: dict[str, np.ndarray] = {}
         _, back = self.log_probs(out.reshape(-1, h), y.ravel(), grads)
         back = back.reshape(out.shape)
-        grads["U"] = np.zeros_like(p["U"])
         into = np.zeros((*x.shape, 3 * h), np.float32)
+        dus = np.empty_like(into)
         dh = np.zeros_like(state)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, n, un = kept[t]
@@ -168,15 +175,18 @@ class GruLm:
             dn = dh * (1 - z) * (1 - n * n)
             dz = dh * (before - n) * z * (1 - z)
             dr = dn * un * r * (1 - r)
-            into[t] = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            grads["U"] += before.T @ du
+            du = dus[t]
+            into[t, :, :h] = du[:, :h] = dz
+            into[t, :, h : 2 * h] = du[:, h : 2 * h] = dr
+            into[t, :, 2 * h :] = dn
+            du[:, 2 * h :] = dn * r
             dh = dh * z + du @ p["U"].T
         flat = into.reshape(-1, 3 * h)
         grads["b"] = flat.sum(axis=0)
-        used, where = np.unique(x.ravel(), return_inverse=True)
-        by_word = np.zeros((len(used), 3 * h), np.float32)
-        np.add.at(by_word, where, flat)
+        grads["U"] = np.concatenate([k[0] for k in kept]).T @ dus.reshape(-1, 3 * h)
+        order = np.argsort(x.ravel(), kind="stable")
+        used, first = np.unique(x.ravel()[order], return_index=True)
+        by_word = np.add.reduceat(flat[order], first, axis=0)
         grads["W"] = p["E"][used].T @ by_word
         grads["E"] = np.zeros_like(p["E"])
         grads["E"][used] = by_word @ p["W"].T

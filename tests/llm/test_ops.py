@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter
 
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -401,3 +403,14 @@ def test_language_model_trains_on_every_document(spark, monkeypatch):
     for n in (1, 30, 383, 385, 10_001):
         lanes, flat = gru_lm.lanes_of([np.arange(n)])
         assert len(flat) % lanes == 0 and set(flat.tolist()) == set(range(n)) and len(flat) < n + lanes
+
+
+def test_op3_gradients_of_repeated_words_without_scattered_adds():
+    """Adding up word by word took a quarter of the training time; sums of sorted runs give the same."""
+    assert not re.search(r"add\.at\(", Path(gru_lm.__file__).read_text())
+    rng = np.random.default_rng(2)
+    m = gru_lm.GruLm(np.array([9, 5, 3, 1], float), n_classes=2, hidden=3)
+    x, y = np.array([[1, 1, 2], [1, 2, 2]]), rng.integers(0, 4, (2, 3))
+    grads, _ = m._grads(x, y, np.zeros((3, 3), np.float32))
+    assert not grads["E"][[0, 3]].any() and np.abs(grads["E"][[1, 2]]).min(axis=1).max() >= 0
+    assert np.allclose(grads["b"] @ m.p["W"].T, grads["E"].sum(axis=0), atol=1e-6)
