@@ -412,5 +412,5 @@ def test_op3_gradients_of_repeated_words_without_scattered_adds():
     m = gru_lm.GruLm(np.array([9, 5, 3, 1], float), n_classes=2, hidden=3)
     x, y = np.array([[1, 1, 2], [1, 2, 2]]), rng.integers(0, 4, (2, 3))
     grads, _ = m._grads(x, y, np.zeros((3, 3), np.float32))
-    assert not grads["E"][[0, 3]].any() and np.abs(grads["E"][[1, 2]]).min(axis=1).max() >= 0
+    assert not grads["E"][[0, 3]].any()
     assert np.allclose(grads["b"] @ m.p["W"].T, grads["E"].sum(axis=0), atol=1e-6)
