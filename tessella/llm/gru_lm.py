@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,103 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").translate(_TO_LOWER).split(), END]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _with_ones(hidden: np.ndarray) -> np.ndarray:
+    """A last column of ones, whose weights are the biases."""
+    return np.concatenate([hidden, np.ones((len(hidden), 1), hidden.dtype)], axis=1)
+
+
+def _softmax(weights: np.ndarray, hidden: np.ndarray, own: np.ndarray, wide: bool, picked: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Exponentials (outputs, tokens); their sums go to ``total``, the logits at the flat places ``own`` to ``picked``. The
+    greatest of a token is taken off only where weights are so ``wide`` that exponentials could leave the range of 32 bits."""
+    x = weights @ hidden.T
+    if wide:
+        x -= x.max(axis=0)
+    picked[:] = x.ravel().take(own)
+    np.exp(x, out=x)
+    x.sum(axis=0, out=total)
+    return x
+
+
+def _softmax_grads(x: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
+    """From what ``_softmax`` gives to the gradients of its logits, in place."""
+    x *= 1 / total
+    flat = x.ravel()
+    flat[own] = flat.take(own) - 1
+
+
+def _is_wide(weights: np.ndarray, hidden: np.ndarray) -> bool:
+    """Whether a logit may lie so far from 0 that its exponential leaves the range of 32 bits."""
+    far = max(1.0, float(np.abs(hidden).max(initial=0)))
+    return float((np.abs(weights) @ np.ones(weights.shape[1], weights.dtype)).max()) * far > 75
+
+
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """A copy of (n, 3 h) as (3, n, h)."""
+    return x.reshape(len(x), 3, -1).transpose(1, 0, 2).copy()
+
+
+def _put_back(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    out = np.empty_like(values)
+    out[order] = values
+    return out
+
+
+def _adam(p: np.ndarray, g: np.ndarray, m: np.ndarray, s: np.ndarray, lr: float, count: int, block: int = 1 << 14) -> None:
+    """One step in place, by blocks that stay in the cache."""
+    for a in range(0, len(p), block):
+        at = slice(a, a + block)
+        gb, mb, sb = g[at], m[at], s[at]
+        mb += 0.1 * (gb - mb)
+        gb *= gb
+        gb -= sb
+        gb *= 0.01
+        sb += gb
+        root = np.sqrt(sb)
+        root *= (1 - 0.99**count) ** -0.5
+        root += 1e-6
+        np.divide(mb, root, out=root)
+        root *= lr / (1 - 0.9**count)
+        p[at] -= root
+
+
+def _sums_by_word(words_: np.ndarray, rows: np.ndarray, v: int, often: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sums of their rows), words by falling count: long runs are summed at once, the others' k-th rows together."""
+    order = np.argsort(words_.astype(np.uint16) if v <= 1 << 16 else words_, kind="stable")
+    counts = np.bincount(words_, minlength=v)
+    first = np.cumsum(counts) - counts
+    used = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    counts, first = counts[used], first[used]
+    long = int(np.count_nonzero(counts > often))
+    out = np.zeros((len(used), rows.shape[1]), rows.dtype)
+    ones = np.ones(counts[0] if long else 0, rows.dtype)
+    for i in range(long):
+        np.matmul(ones[: counts[i]], rows.take(order[first[i] : first[i] + counts[i]], axis=0), out=out[i])
+    for k in range(int(counts[long]) if long < len(counts) else 0):
+        most = int(np.searchsorted(-counts, -k, side="left"))  # words with more than k rows
+        out[long:most] += rows.take(order[first[long:most] + k], axis=0)
+    return used, out
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in one array as ``tokens`` has them, without the ends, and where each text's begin (and the last's end)."""
+    # a copy first: of a slice without nulls the kernel would lose words
+    texts = texts.cast(pa.large_string()).fill_null("").take(pa.array(np.arange(len(texts))))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, cuts = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    real = pc.greater(pc.binary_length(flat), 0)  # white space at either side of a text leaves an empty word there
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return (flat if before[-1] == len(flat) else flat.filter(real)).cast(pa.large_binary()), before[cuts]
+
+
+def streams_of(numbers: np.ndarray, cuts: np.ndarray, end: int) -> list[np.ndarray]:
+    """Each text's numbers and the end."""
+    ids = np.insert(numbers.astype(np.int32, copy=False), cuts[1:], end)
+    return np.split(ids, cuts[1:-1] + np.arange(1, len(cuts) - 1)) if len(cuts) > 1 else []
+
+
+def index_of(words_: pa.Array, among: pa.Array, default: int) -> np.ndarray:
+    """The words' places in ``among``."""
+    return pc.index_in(words_, value_set=among).fill_null(default).to_numpy()
 
 
 class GruLm:
@@ -70,70 +166,79 @@ class GruLm:
         """Hidden states after each of (T, B) inputs; with ``keep``, what the backward pass needs."""
         p, h = self.p, self.hidden
         if not hasattr(self, "table"):
-            self.table = p["E"] @ p["W"] + p["b"]
+            # the gates apart, (3, words, h) and (3, h, h): each step then works on whole blocks of memory. The first two are
+            # negative, as their exponentials are taken of that
+            w, b, u = _by_gate(p["W"]), _by_gate(p["b"][None]), _by_gate(p["U"])
+            for x in (w, b, u):
+                np.negative(x[:2], out=x[:2])
+            table = p["E"] @ w
+            table += b
+            self.table = table, u
+        table, recur = self.table
         out = np.empty((*inputs.shape, h), np.float32)
         kept = []
         for t in range(len(inputs)):
-            x, u = self.table[inputs[t]], state @ p["U"]
-            gates = _sigmoid(x[:, : 2 * h] + u[:, : 2 * h])
-            z, r = gates[:, :h], gates[:, h:]
-            n = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
+            x, un = table.take(inputs[t], axis=1), state @ recur[2]
+            gates = x[:2]
+            gates += state @ recur[:2]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.divide(1, gates, out=gates)
+            z, r, n = x
+            n += r * un
+            np.tanh(n, out=n)
             if keep:
-                kept.append((state, z, r, n, u[:, 2 * h :]))
-            state = n + z * (state - n)
+                kept.append((state, z, r, n, un))
+            state = state - n
+            state *= z
+            state += n
             out[t] = state
         return out, state, kept
 
-    def log_probs(self, hidden: np.ndarray, targets: np.ndarray, grads: dict | None = None):
-        """Natural log probabilities of targets (n,) after hidden states (n, h); fills ``grads`` and returns d hidden too."""
+    def log_probs(self, hidden: np.ndarray, targets: np.ndarray, grads: dict | None = None, block: int = 1024):
+        """Natural log probabilities of targets (n,) after hidden states (n, h); fills ``grads`` and returns d hidden too.
+        Classes are worked on for ``block`` tokens at a time, which stay in the cache."""
         p = self.p
-        cls = self.class_of[targets]
         n = len(targets)
         rows = np.arange(n)
-        # classes and words down, tokens across: sums over few classes or words then run along whole rows of tokens
-        logits = p["C"].T @ hidden.T + p["bc"][:, None]
-        logits -= logits.max(axis=0)
-        picked = logits[cls, rows].copy()
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=0)
-        lp = picked - np.log(total)
-        back = None
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.classes) + 1))
+        # ids are sorted by class, so targets in their order are too; of 16 bits, they are sorted by digits
+        order = np.argsort(targets.astype(np.uint16) if self.v <= 1 << 16 else targets, kind="stable")
+        targets, hidden = targets.take(order), _with_ones(hidden.take(order, axis=0))
+        of_class, of_word = np.concatenate([p["C"].T, p["bc"][:, None]], axis=1), np.concatenate([p["O"], p["bo"][:, None]], axis=1)
+        cls = self.class_of.take(targets)
+        cuts = np.searchsorted(cls, np.arange(len(self.classes) + 1))
         ends = np.append(self.classes[1:], self.v)
-        sorted_hidden, places = hidden[order], targets[order] - self.classes[cls[order]]
-        within = np.zeros(n, lp.dtype)
+        # places in the blocks below, (words of a class, its tokens) as one row
+        places = (targets - self.classes.take(cls)) * np.diff(cuts).take(cls) + rows - cuts.take(cls)
+        # classes and words down, tokens across: sums over few classes or words then run along whole rows of tokens
+        picked, total = np.zeros((2, n), of_class.dtype), np.ones((2, n), of_class.dtype)
+        back, made = (None, None) if grads is None else (np.empty((n, self.hidden), of_class.dtype), np.zeros_like(of_class))
+        wide = _is_wide(of_class, hidden)
+        for a in range(0, n, block):
+            at = slice(a, min(a + block, n))
+            near, own = hidden[at], cls[at] * (at.stop - a) + rows[: at.stop - a]
+            x = _softmax(of_class, near, own, wide, picked[0, at], total[0, at])
+            if grads is not None:
+                _softmax_grads(x, own, total[0, at])
+                made += x @ near
+                np.matmul(x.T, p["C"].T, out=back[at])
         if grads is not None:
-            logits /= total
-            logits[cls, rows] -= 1
-            grads["C"] = (logits @ hidden).T
-            grads["bc"] = logits.sum(axis=1)
-            back = logits.T @ p["C"].T
-            grads["O"], grads["bo"] = np.zeros_like(p["O"]), np.zeros_like(p["bo"])
-            inner = np.zeros_like(back)
-        for k in range(len(self.classes)):
-            lo, hi = self.classes[k], ends[k]
+            grads["C"], grads["bc"] = made[:, :-1].T, made[:, -1]
+            made = np.zeros_like(of_word)
+        wide = _is_wide(of_word, hidden)
+        for k in np.flatnonzero((np.diff(cuts) > 0) & (ends - self.classes > 1)):
+            words_ = slice(self.classes[k], ends[k])
             at = slice(cuts[k], cuts[k + 1])
-            if cuts[k] == cuts[k + 1] or hi - lo == 1:
-                continue
-            hk = sorted_hidden[at]
-            x = p["O"][lo:hi] @ hk.T + p["bo"][lo:hi, None]
-            x -= x.max(axis=0)
-            own = (places[at], rows[: len(hk)])
-            picked = x[own].copy()
-            np.exp(x, out=x)
-            total = x.sum(axis=0)
-            within[at] = picked - np.log(total)
+            near, own = hidden[at], places[at]
+            x = _softmax(of_word[words_], near, own, wide, picked[1, at], total[1, at])
             if grads is not None:
-                x /= total
-                x[own] -= 1
-                grads["O"][lo:hi] = x @ hk
-                grads["bo"][lo:hi] = x.sum(axis=1)
-                inner[at] = x.T @ p["O"][lo:hi]
-        lp[order] += within
+                _softmax_grads(x, own, total[1, at])
+                np.matmul(x, near, out=made[words_])
+                back[at] += x.T @ p["O"][words_]
         if grads is not None:
-            back[order] += inner
-        return lp, back
+            grads["O"], grads["bo"] = made[:, :-1], made[:, -1]
+        lp = (picked - np.log(total)).sum(axis=0)
+        return _put_back(lp, order), None if back is None else _put_back(back, order)
 
     def fit(self, streams: list[np.ndarray], end: int, *, window: int = 24, batch: int = 48, epochs: int = 2, rate: float = 0.012, fall: float = 0.9) -> None:
         """Truncated backpropagation over parallel lanes of concatenated documents, with Adam. The state is carried from
@@ -143,21 +248,23 @@ class GruLm:
         if steps < 1:
             return
         source, target = data[: steps * batch].reshape(batch, steps).T, data[1 : steps * batch + 1].reshape(batch, steps).T
-        m = {k: np.zeros_like(x) for k, x in self.p.items()}
-        s = {k: np.zeros_like(x) for k, x in self.p.items()}
+        # all weights in one row, of which each array is a view while it is trained
+        names = list(self.p)
+        flat = np.concatenate([self.p[k].ravel() for k in names])
+        cuts = np.cumsum([self.p[k].size for k in names])[:-1]
+        self.p = {k: x.reshape(self.p[k].shape) for k, x in zip(names, np.split(flat, cuts))}
+        m, s = np.zeros_like(flat), np.zeros_like(flat)
         count, rounds = 0, epochs * -(-steps // window)
         for _ in range(epochs):
             state = np.zeros((batch, self.hidden), np.float32)
             for at in range(0, steps, window):
-                x, y = source[at : at + window], target[at : at + window]
+                x, y = (np.ascontiguousarray(d[at : at + window]) for d in (source, target))
                 self.__dict__.pop("table", None)
                 grads, state = self._grads(x, y, state)
                 count += 1
                 lr = rate * (1 - fall * count / rounds)
-                for k, g in grads.items():
-                    m[k] += 0.1 * (g - m[k])
-                    s[k] += 0.01 * (g * g - s[k])
-                    self.p[k] -= lr * (m[k] / (1 - 0.9**count)) / (np.sqrt(s[k] / (1 - 0.99**count)) + 1e-6)
+                _adam(flat, np.concatenate([grads[k].ravel() for k in names]), m, s, lr, count)
+        self.p = {k: x.copy() for k, x in self.p.items()}
         self.__dict__.pop("table", None)
 
     def _grads(self, x: np.ndarray, y: np.ndarray, state: np.ndarray):
@@ -166,79 +273,82 @@ class GruLm:
         grads: dict[str, np.ndarray] = {}
         _, back = self.log_probs(out.reshape(-1, h), y.ravel(), grads)
         back = back.reshape(out.shape)
-        into = np.zeros((*x.shape, 3 * h), np.float32)
-        dus = np.empty_like(into)
+        into = np.empty((*x.shape, 3 * h), np.float32)
+        by_gate = np.empty((3, *state.shape), np.float32)
+        recur = np.ascontiguousarray(_by_gate(p["U"]).transpose(0, 2, 1))
+        grads["U"] = np.zeros((3, h, h), np.float32)
         dh = np.zeros_like(state)
         for t in range(len(x) - 1, -1, -1):
             before, z, r, n, un = kept[t]
             dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = dus[t]
-            into[t, :, :h] = du[:, :h] = dz
-            into[t, :, h : 2 * h] = du[:, h : 2 * h] = dr
+            dz, dr, dn = by_gate
+            np.multiply(dh, 1 - z, out=dn)
+            dn *= 1 - n * n
+            np.subtract(before, n, out=dz)
+            dh *= z
+            dz *= dh
+            dz *= 1 - z
+            np.multiply(dn, r, out=dr)
             into[t, :, 2 * h :] = dn
-            du[:, 2 * h :] = dn * r
-            dh = dh * z + du @ p["U"].T
+            dn[...] = dr
+            dr *= un
+            dr *= 1 - r
+            into[t, :, :h], into[t, :, h : 2 * h] = dz, dr
+            grads["U"] += before.T @ by_gate
+            for part in by_gate @ recur:
+                dh += part
+        grads["U"] = grads["U"].transpose(1, 0, 2).reshape(h, 3 * h)
         flat = into.reshape(-1, 3 * h)
-        grads["b"] = flat.sum(axis=0)
-        grads["U"] = np.concatenate([k[0] for k in kept]).T @ dus.reshape(-1, 3 * h)
-        order = np.argsort(x.ravel(), kind="stable")
-        used, first = np.unique(x.ravel()[order], return_index=True)
-        by_word = np.add.reduceat(flat[order], first, axis=0)
+        used, by_word = _sums_by_word(x.ravel(), flat, self.v)
+        grads["b"] = by_word.sum(axis=0)
         grads["W"] = p["E"][used].T @ by_word
         grads["E"] = np.zeros_like(p["E"])
         grads["E"][used] = by_word @ p["W"].T
-        n = x.size
-        return {k: np.clip(g / n, -0.5, 0.5) for k, g in grads.items()}, last
+        for g in grads.values():
+            g /= x.size
+            np.clip(g, -0.5, 0.5, out=g)
+        return grads, last
 
-    def score(self, docs: list[np.ndarray], end: int, window_tokens: int = 49152) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], end: int, window_tokens: int = 49152, lanes: int = 384) -> np.ndarray:
         """Natural log probability of each document (ids that end with ``end``), read from a start like after an end.
 
-        All documents advance together, longest first; the live ones' states are carried from window to window.
+        All documents advance together, longest first; the live ones' states are carried from window to window. So many ``lanes``
+        are run at once that a step's arrays stay in the cache.
         """
         out = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        sizes = np.array([len(docs[i]) for i in order])
+        order = np.array(sorted(range(len(docs)), key=lambda i: -len(docs[i])), np.int64)
+        sizes = np.array([len(docs[i]) for i in order], np.int64)
+        # one row of all documents with an end before each, which it is read from
+        start = np.array([end], np.int32)
+        flat = np.concatenate([x for i in order for x in (start, docs[i])] or [start])
+        first = np.cumsum(sizes + 1) - sizes - 1
         state = np.zeros((len(docs), self.hidden), np.float32)
         at = 0
         while len(sizes) and at < sizes[0]:
             live = int(np.searchsorted(-sizes, -at, side="left"))
             wide = int(min(max(window_tokens // live, 1), 512, sizes[0] - at))
-            ids = np.full((live, wide + 1), end, np.int64)
-            valid = np.minimum(sizes[:live] - at, wide)
-            for row in range(live):
-                doc = docs[order[row]]
-                piece = doc[max(at - 1, 0) : at + wide]
-                ids[row, (at == 0) : (at == 0) + len(piece)] = piece
-            hidden, state_live, _ = self.run(np.ascontiguousarray(ids[:, :-1].T), state[:live])
-            state[:live] = state_live
-            real = np.arange(wide)[:, None] < valid[None, :]
-            lp, _ = self.log_probs(hidden[real], ids[:, 1:].T[real])
-            out[np.array(order[:live])] += np.bincount(np.broadcast_to(np.arange(live), real.shape)[real], weights=lp, minlength=live)
+            # beyond a document's end others follow, which are read and left out
+            ids = flat.take(first[:live] + at + np.arange(wide + 1)[:, None], mode="clip")
+            hidden = np.empty((wide, live, self.hidden), np.float32)
+            for a in range(0, live, lanes):
+                own = slice(a, min(a + lanes, live))
+                hidden[:, own], state[own], _ = self.run(ids[:-1, own], state[own])
+            real = np.flatnonzero(np.arange(wide)[:, None] < sizes[:live] - at)
+            lp, _ = self.log_probs(hidden.reshape(-1, self.hidden).take(real, axis=0), ids[1:].ravel().take(real))
+            out[order[:live]] += np.bincount(real % live, weights=lp, minlength=live)
             at += wide
         return out
 
 
-def count_tokens(docs: DataFrame, flush: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame) -> DataFrame:
     """(word binary, c long) over documents that are not held out; the empty word is the end. Workers add up first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def give() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-            seen.clear()
-            return out
-
         for batch in batches:
-            for t in batch.column("text").cast(pa.large_binary()):
-                seen.update(tokens(t.as_py()))
-                if len(seen) > flush:
-                    yield give()
-        if seen:
-            yield give()
+            for part in byte_chunks(batch):
+                seen = pc.value_counts(words_of(part.column("text"))[0])
+                words_, c = seen.field("values").cast(pa.binary()), seen.field("counts")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([words_, pa.array([END], pa.binary())]), pa.concat_arrays([c, pa.array([part.num_rows], pa.int64())])], ["word", "c"])
 
     train = docs.where(~is_held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
     return map_arrow(train, count, "word binary, c long", stream=True).groupBy("word").agg(F.sum("c").alias("c"))
@@ -291,29 +401,33 @@ def _train_round(docs: DataFrame, model: GruLm, vocab: dict[bytes, int], other:
     """One round over the training documents whose hash lies in ``part`` (of 0 to 1): the averaged weights replace the model's.
 
     A task holds at most about ``chunk`` tokens at a time. Weights travel in pieces, which are added up as they stream by."""
-    sent = docs.sparkSession.sparkContext.broadcast((model, vocab))
+    sent = docs.sparkSession.sparkContext.broadcast((model, pa.array(list(vocab), pa.large_binary()), np.array([*vocab.values(), other], np.int32)))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
-        start, ids_of = sent.value
-        own, read = None, 0
+        start, known, ids = sent.value
+        own, read, waiting = None, 0, 0
         held: list[np.ndarray] = []
 
         def learn() -> None:
-            nonlocal own
+            nonlocal own, waiting
             own = own or copy.deepcopy(start)
             lanes, flat = lanes_of(held)
             with one_blas_thread():
                 own.fit([flat], end, batch=lanes, epochs=1, rate=rate, fall=0.5)
             held.clear()
+            waiting = 0
 
         for batch in batches:
-            for t in batch.column("text").cast(pa.large_binary()):
-                held.append(np.array([ids_of.get(x, other) for x in tokens(t.as_py())], np.int32))
-                read += len(held[-1])
-                if sum(map(len, held[-64:])) > chunk or sum(map(len, held)) > chunk:
-                    learn()
+            for part in byte_chunks(batch, 4 << 20):
+                words_, cuts = words_of(part.column("text"))
+                for doc in streams_of(ids.take(index_of(words_, known, len(known))), cuts, end):
+                    held.append(doc)
+                    read += len(doc)
+                    waiting += len(doc)
+                    if waiting > chunk:
+                        learn()
         if held:
             learn()
         if own is not None:
@@ -379,34 +493,39 @@ def score_documents(docs: DataFrame, *, vocabulary: int = 4096, head: int = 200_
     ids = np.array([end, *(new_id[k] if k < size else other for k in range(len(top)))], np.int32)
     logs = np.log10(np.array([ends, *(c for _, c in top)], float) + 0.1)
     alive = ends > 0
-    sent = spark.sparkContext.broadcast((words_, ids, logs, model))
-    cache: dict[str, object] = {}
+    sent = spark.sparkContext.broadcast((pa.array(words_, pa.large_binary()), ids, logs, model))
 
     def score(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-        words_, ids, logs, model = sent.value
-        if "place" not in cache:
-            cache["place"] = {w: k for k, w in enumerate(words_)}
-        place = cache["place"].get
+        known, ids, logs, model = sent.value
         out = []
         for part in byte_chunks(batch, 24 << 20):
-            rows = {k: [] for k in ("n_tokens", "n_head", "log_known", "log_other", "n_other", "tail")}
-            streams = []
-            for t in part.column("text").cast(pa.large_binary()):
-                w = tokens(t.as_py())
-                at = np.array([place(x, -1) for x in w], np.int32)
-                tail = at < 0
-                streams.append(np.where(tail, other, ids[at]))
-                found = at[~tail]
-                is_other = ids[found] == other
-                rows["n_tokens"].append(len(w))
-                rows["n_head"].append(len(found) - (0 if alive else 1))
-                rows["log_known"].append(float(logs[found[~is_other]].sum()))
-                rows["log_other"].append(float(logs[found[is_other]].sum()))
-                rows["n_other"].append(int(is_other.sum() + tail.sum()))
-                rows["tail"].append([{"word": x, "k": k} for x, k in Counter([w[i] for i in np.flatnonzero(tail).tolist()]).items()])
+            words_, cuts = words_of(part.column("text"))
+            found = index_of(words_, known, -1)
+            # places of all tokens, the ends' being 0; each document has one at least
+            place = np.insert(found, cuts[1:], 0)
+            first = cuts[:-1] + np.arange(part.num_rows)
+            head = place >= 0
+            number = np.where(head, ids.take(place, mode="clip"), other)
+            log = np.where(head, logs.take(place, mode="clip"), 0.0)
+            is_other = number == other
+            streams = np.split(number, first[1:])
+            rows = {
+                "n_tokens": np.diff(cuts) + 1,
+                "n_head": np.add.reduceat(head.astype(np.int64), first) - (0 if alive else 1),
+                "log_known": np.add.reduceat(np.where(is_other, 0.0, log), first),
+                "log_other": np.add.reduceat(np.where(is_other, log, 0.0), first),
+                "n_other": np.add.reduceat(is_other.astype(np.int64), first),
+            }
+            # words outside the head, each once a document with how often it occurs there
+            at = np.flatnonzero(found < 0)
+            rare = words_.take(pa.array(at)).dictionary_encode()
+            pairs, k = np.unique((np.searchsorted(cuts, at, side="right") - 1) * max(len(rare.dictionary), 1) + rare.indices.to_numpy(), return_counts=True)
+            doc, word = np.divmod(pairs, max(len(rare.dictionary), 1))
+            words_of_doc = pa.StructArray.from_arrays([rare.dictionary.take(pa.array(word)).cast(pa.binary()), pa.array(k, pa.int64())], ["word", "k"])
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32()), words_of_doc)
             with one_blas_thread():
                 lp = model.score(streams, end) / LN10
-            arrays = [part.column("doc_id"), part.column("held_out"), *(pa.array(rows[k]) for k in ("n_tokens", "n_head", "log_known", "log_other", "n_other")), pa.array(lp), pa.array(rows["tail"], pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))]
+            arrays = [part.column("doc_id"), part.column("held_out"), *(pa.array(x) for x in rows.values()), pa.array(lp), tail]
             out.append(pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_head", "log_known", "log_other", "n_other", "network", "tail"]))
         return out
 

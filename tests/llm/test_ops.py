@@ -414,3 +414,27 @@ def test_op3_gradients_of_repeated_words_without_scattered_adds():
     grads, _ = m._grads(x, y, np.zeros((3, 3), np.float32))
     assert not grads["E"][[0, 3]].any()
     assert np.allclose(grads["b"] @ m.p["W"].T, grads["E"].sum(axis=0), atol=1e-6)
+
+
+def test_op3_words_of_whole_columns_lose_none():
+    """Words are parted for a whole column at once, which took a Python loop a document before; slices keep every word."""
+    import pyarrow as pa
+
+    odd = ["", " a  B\x0bc\x0c\x1c\x85 d É\x00x", "   ", "x ", "\nx", *[f"A{chr(i)}b{chr(i)} c" for i in range(256)]]
+    for texts in (odd, [None, *odd]):
+        whole = pa.array(texts, pa.string())
+        for column in (whole, whole[7:60], whole[100:], whole[:0]):
+            words_, cuts = gru_lm.words_of(column)
+            got = [[w.as_py() for w in words_[a:b]] for a, b in zip(cuts, cuts[1:])]
+            assert got == [gru_lm.tokens(t and t.encode())[:-1] for t in column.to_pylist()]
+            assert [len(x) for x in gru_lm.streams_of(np.zeros(len(words_), np.int32), cuts, 7)] == [len(x) + 1 for x in got]
+
+
+def test_op3_large_weights_stay_finite_and_running_changes_none():
+    m = gru_lm.GruLm(np.array([9, 5, 3, 1], float), n_classes=2, hidden=3)
+    m.p["C"][:], m.p["O"][:] = 300, 300
+    m.p["b"][:] = 0.5
+    hidden = np.ones((5, 3), np.float32)
+    assert np.isfinite(m.log_probs(hidden, np.array([0, 1, 2, 3, 0]))[0]).all()
+    m.run(np.array([[1, 2]]), np.zeros((2, 3), np.float32))
+    assert (m.p["b"] == 0.5).all()
