@@ -23,12 +23,12 @@ class Review:
     counts: DataFrame
 
 
-def line_clusters(lines: DataFrame, *, key: str = "file_name", **how: float) -> DataFrame:
-    """T-8: near-duplicate lines of a profile by cluster: (cluster, size, first_text, key, line_no, section, text).
+def line_clusters(lines: DataFrame, *, key: str = "file_name", threshold: float = 0.72) -> DataFrame:
+    """T-8: near-duplicate lines of a profile by cluster: (cluster, size, first_text, key, line_no, section, text). All pairs count.
 
     A line is named by a hash of its file and number; the cluster's first line is the one with the least file and number."""
     named = lines.withColumn("line_id", F.xxhash64(key, "line_no"))
-    rooted = dedupe.near_clusters(named, **how)
+    rooted = dedupe.whole_clusters(named, threshold=threshold)
     rows = stored(named.join(rooted, "line_id"), "clustered-lines")
     first = rows.groupBy("cluster_id").agg(F.min_by("text", F.struct(key, "line_no")).alias("first_text"))
     return rows.join(first, "cluster_id").select(F.col("cluster_id").alias("cluster"), F.col("cluster_size").alias("size"), "first_text", key, "line_no", "section", "text")
