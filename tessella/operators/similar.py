@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tessella.sources.storage import discard, perhaps_in, stored
 
-#: Pairs that are compared at once, and classes whose tokens are ordered at once (14 bits of a sort key).
-AT_ONCE, ROWS = 1 << 18, 1 << 13
+#: Pairs that are compared at once; classes whose tokens are ordered at once (at most 14 bits of a sort key), and bytes of their keys.
+AT_ONCE, ROWS, BYTES = 1 << 18, 1 << 13, 1 << 22
 #: 64-bit words of a sketch.
 WORDS = 3
 #: Groups up to this size are compared as Python sets.
@@ -24,6 +24,17 @@ FEW = 12
 Columns = list[np.ndarray]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, so that long keys do not add up."""
+    end_of = np.cumsum(pc.binary_length(batch.column("key")).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        fit = int(np.searchsorted(end_of, (end_of[begin - 1] if begin else 0) + BYTES, "right"))
+        end = min(begin + ROWS, max(begin + 1, fit))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _prefix_rows(classes: DataFrame, place: dict[str, int], threshold: float) -> DataFrame:
     """(k, cls, size, s0, s1, s2): a row for each token of a class's prefix. Tokens are in one order for all classes, rarest first; two
     sets of the similarity share a token of both prefixes, whatever the order. k is the token's CRC-32 (tokens of one CRC share a bucket, which
@@ -34,8 +45,7 @@ def _prefix_rows(classes: DataFrame, place: dict[str, int], threshold: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = sent.value
         for whole in batches:
-            for begin in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(begin, ROWS)
+            for batch in _slices(whole):
                 parts = pc.split_pattern(batch.column("key"), " ")
                 n = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
                 words = pc.list_flatten(parts).dictionary_encode()

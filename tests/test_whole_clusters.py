@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from tessella.functions import text as T
 from tessella.operators import dedupe, review, similar
@@ -79,9 +80,21 @@ def test_links_of_large_groups_and_small_steps(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, stepped)) and len(whole[1]) == 24
 
 
-def test_batches_are_cut_between_keys_only():
-    import pyarrow as pa
+def test_long_keys_are_taken_in_parts(monkeypatch):
+    monkeypatch.setattr(similar, "BYTES", 10)
+    monkeypatch.setattr(similar, "ROWS", 3)
+    keys = ["abc", "abcd", "abcdefghijklmnop", "a", "b", "c", "d", "abcdefghij", "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+    assert [x.column("key").to_pylist() for x in similar._slices(batch)] == [["abc", "abcd"], ["abcdefghijklmnop"], ["a", "b", "c"], ["d"], ["abcdefghij"], ["z"]]
+    assert not list(similar._slices(batch.slice(0, 0)))
+
+
+def test_tables_without_near_lines(spark):
+    for rows in ([], [(1, None), (2, ""), (3, "alpha bravo charlie"), (4, "Alpha, bravo: charlie!")]):
+        assert dedupe.whole_clusters(spark.createDataFrame(rows, "line_id long, text string")).count() == 0
 
+
+def test_batches_are_cut_between_keys_only():
     keys = [1, 1, 2, 2, 2, 3, 3, 3, 3, 5, 6, 6]
     for size in range(1, 6):
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(list(range(i, min(i + size, len(keys)))))], ["k", "v"]) for i in range(0, len(keys), size)]
